@@ -135,6 +135,8 @@ def _decode_piece(piece: Column, names: Column) -> Column:
             .when(token != "", F.try_element_at(names, body))
         )
         rest = F.substr(piece, F.length(token) + 1)
+        # An ampersand stays escaped until the last step, or it would be decoded twice.
+        char = F.when(char == "&", F.lit("&amp;")).otherwise(char)
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
 
     token = F.regexp_extract(
@@ -172,8 +174,7 @@ def decode_entities(col: Column, in_attribute: bool = False, entities: str = "ba
         if not in_attribute:
             out = F.replace(out, F.lit(f"&{name}"), F.lit(char))
     out = _decode_rare(out)
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return out if in_attribute else replace_regex(out, "&amp(?![a-zA-Z0-9])", "&")
+    return replace_regex(out, "&amp;" if in_attribute else "&amp;?", "&")
 
 
 def decode_each(texts: Column, entities: str = "basic") -> Column:

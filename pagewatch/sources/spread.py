@@ -1,0 +1,16 @@
+"""Parallelism for inputs that are too small to be split."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_if_narrow(rows: DataFrame) -> DataFrame:
+    """Repartition rows that arrive in fewer partitions than there are cores.
+
+    Parsing pages costs far more than moving them, so a single small file
+    should not keep one core busy and the others idle. An input of at least
+    one partition per core, hence any large one, is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
