@@ -55,8 +55,8 @@ def strip_tags(markup: Column) -> Column:
     return replace_regex(markup, rf"(?s){ANY_TAG}")
 
 
-def attribute(tag: Column, name: str, entities: str = "basic") -> Column:
-    """Value of an attribute of one start tag, null if the tag lacks it.
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of one start tag as written, null if the tag lacks it.
 
     The tag is cut into attributes first, so a name inside another
     attribute's value is not taken for one.
@@ -69,8 +69,12 @@ def attribute(tag: Column, name: str, entities: str = "basic") -> Column:
         F.lit(1),
     )
     value = replace_regex(found, r"(?s)^[^=]*(?:=\s*|\z)")
-    unquoted = replace_regex(value, r"""(?s)^(["'])(.*)\1\z""", "$2")
-    return decode_entities(unquoted, in_attribute=True, entities=entities)
+    return replace_regex(value, r"""(?s)^(["'])(.*)\1\z""", "$2")
+
+
+def attribute(tag: Column, name: str, entities: str = "basic") -> Column:
+    """Decoded value of an attribute of one start tag, null if the tag lacks it."""
+    return decode_entities(raw_attribute(tag, name), in_attribute=True, entities=entities)
 
 
 def _first_tag(markup: Column, name: str, wanted) -> Column:
@@ -88,7 +92,7 @@ def canonical_of(markup: Column, entities: str = "basic") -> Column:
     tag = _first_tag(
         markup,
         "link",
-        lambda t: t.rlike("(?i)canonical") & (F.lower(attribute(t, "rel")) == "canonical"),
+        lambda t: t.rlike("(?i)canonical") & (F.lower(raw_attribute(t, "rel")) == "canonical"),
     )
     return F.coalesce(attribute(tag, "href", entities), F.lit(""))
 
@@ -97,7 +101,7 @@ def meta_description_of(markup: Column, entities: str = "basic") -> Column:
     tag = _first_tag(
         markup,
         "meta",
-        lambda t: t.contains("description") & (attribute(t, "name") == "description"),
+        lambda t: t.contains("description") & (raw_attribute(t, "name") == "description"),
     )
     return F.coalesce(attribute(tag, "content", entities), F.lit(""))
 

@@ -19,6 +19,7 @@ from pagewatch.functions.markup import (
     TAG_END,
     TAG_REST,
     attribute,
+    raw_attribute,
     start_tag,
     strip_tags,
 )
@@ -49,9 +50,9 @@ def _opens_container(tag: Column, kind: str | None, name: str | None) -> Column:
     if kind is None:
         return F.lit(True)
     if kind == "#":
-        return F.coalesce(attribute(tag, "id") == name, F.lit(False))
+        return F.coalesce(raw_attribute(tag, "id") == name, F.lit(False))
     return F.coalesce(
-        attribute(tag, "class").rlike(rf"(?:^|\s){re.escape(name)}(?:\s|\z)"), F.lit(False)
+        raw_attribute(tag, "class").rlike(rf"(?:^|\s){re.escape(name)}(?:\s|\z)"), F.lit(False)
     )
 
 

@@ -115,11 +115,9 @@ def _char_of(code_point: Column) -> Column:
 
 
 def _entity_table() -> Column:
-    """Name to character for the HTML 4 names of the standard library, as a map literal."""
-    pairs = []
-    for name, code in sorted(name2codepoint.items()):
-        pairs += [F.lit(name), F.lit(chr(code))]
-    return F.create_map(*pairs)
+    """Name to character for the HTML 4 names of the standard library, folded to a map literal."""
+    pairs = ";".join(f"{name}={chr(code)}" for name, code in sorted(name2codepoint.items()))
+    return F.str_to_map(F.lit(pairs), F.lit(";"), F.lit("="))
 
 
 def _decode_piece(piece: Column, names: Column) -> Column:
@@ -147,14 +145,15 @@ def _decode_piece(piece: Column, names: Column) -> Column:
 
 def _decode_rare(col: Column) -> Column:
     """Numeric references and the less common names; skipped for texts without any."""
-    pieces = F.split(col, "&")
-    names = _entity_table()
-    decoded = F.transform(
-        pieces, lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p, names))
-    )
-    return F.when(
-        col.rlike("&(?:#|(?!amp\\b)[A-Za-z][A-Za-z0-9]{1,10};)"), F.array_join(decoded, "")
-    ).otherwise(col)
+    def decoded(text: Column) -> Column:
+        names = _entity_table()
+        pieces = F.transform(
+            F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p, names))
+        )
+        rare = text.rlike("&(?:#|(?!amp\\b)[A-Za-z][A-Za-z0-9]{1,10};)")
+        return F.when(rare, F.array_join(pieces, "")).otherwise(text)
+
+    return let(col, decoded)
 
 
 def decode_entities(col: Column, in_attribute: bool = False, entities: str = "basic") -> Column:
