@@ -338,15 +338,15 @@ def visible_texts_of_versions(spark, sf_dir):
 
 
 def nav_links(spark, sf_dir):
-    return versions(spark, sf_dir).select("id", F.posexplode("nav").alias("pos", "link")).select(
-        "id", "pos", "link.url", "link.text"
-    )
+    return versions(spark, sf_dir).select("id", F.posexplode_outer("nav").alias("pos", "link")).filter(
+        "link IS NOT NULL"
+    ).select("id", "pos", "link.url", "link.text")
 
 
 def nav_maps(spark, sf_dir):
     return versions(spark, sf_dir).select(
-        "id", F.posexplode(nav_map(F.col("nav"))).alias("pos", "link")
-    ).select("id", "pos", "link.url", "link.text")
+        "id", F.posexplode_outer(nav_map(F.col("nav"))).alias("pos", "link")
+    ).filter("link IS NOT NULL").select("id", "pos", "link.url", "link.text")
 
 
 # Fetch resolution

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewatch.functions.cached import build_once
 from pagewatch.functions.text import utf16_length
+from pagewatch.operators.rows import unfold
 from pagewatch.schemas import ISSUE_TYPE
 
 MAX_TITLE_LENGTH = 60
@@ -83,6 +85,11 @@ RULES = (
 
 def audit_pages(pages: DataFrame) -> DataFrame:
     """Each page's url with the array of its issues; robots.txt pages have none."""
+    return pages.select("url", _issue_array().alias("issues"))
+
+
+@build_once
+def _issue_array() -> Column:
     found = [
         F.when(
             condition,
@@ -97,12 +104,12 @@ def audit_pages(pages: DataFrame) -> DataFrame:
     ]
     issues = F.filter(F.array(*found), lambda i: i.isNotNull())
     nothing = F.array().cast(f"array<{ISSUE_TYPE}>")
-    return pages.select("url", F.when(F.col("is_robots"), nothing).otherwise(issues).alias("issues"))
+    return F.when(F.col("is_robots"), nothing).otherwise(issues)
 
 
 def issue_rows(audited: DataFrame) -> DataFrame:
     """One row per page and broken rule."""
-    return audited.select("url", F.inline("issues"))
+    return unfold(audited, ["url"], "issues", "rule")
 
 
 def audit(pages: DataFrame) -> DataFrame:

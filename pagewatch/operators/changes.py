@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewatch.functions.cached import build_once
 from pagewatch.functions.navigation import link_changes
 from pagewatch.functions.text import let, one_decimal, or_default, percent_difference
+from pagewatch.operators.rows import unfold
 from pagewatch.schemas import CHANGE_TYPE, LINK_CHANGES
 
 CONTENT_THRESHOLD = 20.0
@@ -98,8 +100,13 @@ def _nav_records(old: Column, new: Column, kinds: Sequence[str]) -> Column:
 
 def _changes(pairs: DataFrame, kinds: Sequence[str], threshold: float) -> Column:
     """Array of the changes of a pair, in report order."""
-    old, new = F.col("old"), F.col("new")
     has_text = "text" in pairs.schema["new"].dataType.fieldNames()
+    return _change_array(tuple(kinds), threshold, has_text)
+
+
+@build_once
+def _change_array(kinds: Sequence[str], threshold: float, has_text: bool) -> Column:
+    old, new = F.col("old"), F.col("new")
     wide: list[Column] = []
     if CONTENT in kinds:
         wide.append(_content_record(old, new, "text" if has_text else None, threshold))
@@ -149,12 +156,12 @@ def changed_only(comparisons: DataFrame) -> DataFrame:
 
 def change_rows(comparisons: DataFrame) -> DataFrame:
     """One row per change."""
-    return comparisons.select("url", F.inline("changes"))
+    return unfold(comparisons, ["url"], "changes", "type")
 
 
 def _changes_of(pairs: DataFrame, kinds: Sequence[str], threshold: float) -> DataFrame:
-    return pairs.filter("old IS NOT NULL").select(
-        "url", F.inline(_changes(pairs, kinds, threshold))
+    return unfold(
+        pairs.filter("old IS NOT NULL"), ["url"], _changes(pairs, kinds, threshold), "type"
     )
 
 
@@ -194,7 +201,7 @@ def changed_texts(
         )
         for side in ("old", "new")
     ]
-    keys = hit.select("url", F.inline(F.array(*sides)))
+    keys = unfold(hit, ["url"], F.array(*sides), "side")
     texts = versions.select("url", "snapshot_date", "ts_key", "id", "text")
     found = texts.join(keys, ["url", "snapshot_date", "ts_key", "id"])
     return found.groupBy("url").agg(
@@ -220,7 +227,7 @@ def line_diff(texts: DataFrame) -> DataFrame:
         part("removed", old, (old != new) & (old != "")),
         part("added", new, (old != new) & (new != "")),
     )
-    return texts.select("url", F.inline(F.filter(parts, lambda p: p.isNotNull())))
+    return unfold(texts, ["url"], F.filter(parts, lambda p: p.isNotNull()), "part")
 
 
 def multiline_diff(texts: DataFrame) -> DataFrame:
@@ -234,7 +241,7 @@ def multiline_diff(texts: DataFrame) -> DataFrame:
         text = F.col(f"{side}_text")
         split = F.split(F.regexp_replace(text, r"\r?\n\z", ""), "\r?\n")
         return texts.filter(text.isNotNull() & (text != "")).select(
-            "url", F.lit(side).alias("side"), F.posexplode(split).alias("pos", "line")
+            "url", F.lit(side).alias("side"), F.posexplode_outer(split).alias("pos", "line")
         )
 
     repeats = Window.partitionBy("url", "line", "side").orderBy("pos")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewatch.functions import markup as M
+from pagewatch.functions.cached import build_once
 from pagewatch.functions.navigation import DEFAULT_NAV_RULES, NavRules, nav_links_of
 from pagewatch.functions.text import utf16_length, ws_trim
 from pagewatch.functions.times import snapshot_date
@@ -14,6 +15,45 @@ from pagewatch.operators.fetches import is_robots
 TEXT_HEAD_LENGTH = 200
 
 
+@build_once
+def _parsed_columns(
+    nav_rules: NavRules, homepage_only: bool, entities: str
+) -> dict[str, Column]:
+    """Fields read from `markup` and `html`."""
+    html, markup = F.col("html"), F.col("markup")
+    raw_text = ws_trim(F.coalesce(html, F.lit("")))
+    return {
+        "title": M.title_of(markup, entities),
+        "canonical": M.canonical_of(markup, entities),
+        "meta_description": M.meta_description_of(markup, entities),
+        "h1": M.h1_texts_of(markup, entities),
+        "text": F.when(F.col("is_robots"), raw_text).otherwise(
+            M.visible_text_of(markup, entities)
+        ),
+        "nav": nav_links_of(markup, F.col("url"), nav_rules, homepage_only, entities),
+    }
+
+
+@build_once
+def _judged_columns(backfill: bool) -> dict[str, Column]:
+    """Flags and measures of the parsed fields."""
+    text = F.col("text")
+    return {
+        "has_title": M.has_title(F.col("title"), any_scheme=backfill),
+        "is_canonical_self_ref": M.canonical_self_ref(
+            F.col("canonical"), F.col("url"), strip_slash=not backfill
+        ),
+        "has_meta_description": M.has_meta_description(
+            F.col("meta_description"), 160 if backfill else None
+        ),
+        "has_h1": M.has_h1(F.col("h1")),
+        "multiple_h1s": M.multiple_h1s(F.col("h1")),
+        "text_length": utf16_length(text),
+        "text_digest": F.when(F.col("is_robots"), F.sha2(text, 256)),
+        "text_head": F.when(F.col("is_robots"), F.substring(text, 1, TEXT_HEAD_LENGTH)),
+    }
+
+
 def extract_page_fields(
     pages: DataFrame,
     nav_rules: NavRules = DEFAULT_NAV_RULES,
@@ -30,44 +70,22 @@ def extract_page_fields(
     with any scheme are no titles, descriptions are limited to 160 characters,
     and self references must match to the last slash.
     """
-    html, url, title = F.col("html"), F.col("url"), F.col("title")
     rows = pages
     if "status_code" not in rows.columns:
         rows = rows.withColumn("status_code", F.lit(None).cast("int"))
     if "id" not in rows.columns:
         rows = rows.withColumn("id", F.xxhash64("url", "ts_key", "html"))
-    parsed = rows.withColumns(
-        {
-            "status_code": F.nullif("status_code", F.lit(0)),
-            "snapshot_date": snapshot_date(F.col("ts_key")),
-            "is_robots": is_robots(url),
-            "markup": M.page_markup(html),
-        }
-    ).withColumns(
-        {
-            "title": M.title_of(F.col("markup"), entities),
-            "canonical": M.canonical_of(F.col("markup"), entities),
-            "meta_description": M.meta_description_of(F.col("markup"), entities),
-            "h1": M.h1_texts_of(F.col("markup"), entities),
-            "text": F.when(F.col("is_robots"), ws_trim(F.coalesce(html, F.lit("")))).otherwise(
-                M.visible_text_of(F.col("markup"), entities)
-            ),
-            "nav": nav_links_of(F.col("markup"), url, nav_rules, homepage_only, entities),
-        }
+    rules = tuple(tuple(rule) for rule in nav_rules)
+    return (
+        rows.withColumns(
+            {
+                "status_code": F.nullif("status_code", F.lit(0)),
+                "snapshot_date": snapshot_date(F.col("ts_key")),
+                "is_robots": is_robots(F.col("url")),
+                "markup": M.page_markup(F.col("html")),
+            }
+        )
+        .withColumns(_parsed_columns(rules, homepage_only, entities))
+        .withColumns(_judged_columns(backfill))
+        .drop("markup")
     )
-    return parsed.withColumns(
-        {
-            "has_title": M.has_title(title, any_scheme=backfill),
-            "is_canonical_self_ref": M.canonical_self_ref(
-                F.col("canonical"), url, strip_slash=not backfill
-            ),
-            "has_meta_description": M.has_meta_description(
-                F.col("meta_description"), 160 if backfill else None
-            ),
-            "has_h1": M.has_h1(F.col("h1")),
-            "multiple_h1s": M.multiple_h1s(F.col("h1")),
-            "text_length": utf16_length(F.col("text")),
-            "text_digest": F.when(F.col("is_robots"), F.sha2("text", 256)),
-            "text_head": F.when(F.col("is_robots"), F.substring("text", 1, TEXT_HEAD_LENGTH)),
-        }
-    ).drop("markup")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.operators.audit import CRITICAL, MINOR
 from pagewatch.operators.changes import CONTENT, FIELD_TYPES, NAV_TYPES, ROBOTS
+from pagewatch.operators.rows import unfold
 
 # Sections in report order with the subject each one calls for.
 SECTIONS = {
@@ -104,7 +105,7 @@ def _section_lines(url: str, sections: dict[str, Column], rows: DataFrame) -> Da
             for name, lines in sections.items()
         ]
     )
-    return rows.select(url, F.inline(F.filter(entries, lambda e: F.size(e["lines"]) > 0)))
+    return unfold(rows, [url], F.filter(entries, lambda e: F.size(e["lines"]) > 0), "section")
 
 
 def issue_lines(audited: DataFrame) -> DataFrame:

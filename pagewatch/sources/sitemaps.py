@@ -33,7 +33,7 @@ def sitemap_urls(
     """
     contents = F.regexp_extract_all(replace_regex(F.col(xml), XML_COMMENT), F.lit(LOC), 1)
     found = sitemaps.filter(F.col(xml).isNotNull()).select(
-        F.col(sitemap_url).alias("sitemap_url"), F.posexplode(contents).alias("row", "content")
+        F.col(sitemap_url).alias("sitemap_url"), F.posexplode_outer(contents).alias("row", "content")
     )
     return found.select(
         _position(F.col("sitemap_url"), F.lit(0), F.col("row"), SITEMAP_SOURCE).alias("pos"),

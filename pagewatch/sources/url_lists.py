@@ -43,7 +43,7 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 def url_list_lines(documents: DataFrame, document: str = "document", body: str = "body") -> DataFrame:
     """The same for list documents held in a column."""
     lines = documents.select(
-        F.col(document).alias("document"), F.posexplode(F.split(body, "\n")).alias("row", "line")
+        F.col(document).alias("document"), F.posexplode_outer(F.split(body, "\n")).alias("row", "line")
     )
     return _cleaned(
         lines.select(_position(F.col("document"), F.lit(0), F.col("row")).alias("pos"), "line")
