@@ -19,11 +19,12 @@ from pagewatch.functions.markup import (
     TAG_END,
     TAG_REST,
     attribute,
+    page_markup,
     raw_attribute,
     start_tag,
     strip_tags,
 )
-from pagewatch.functions.text import decode_each, let, ws_collapse
+from pagewatch.functions.text import decode_entities, let, ws_collapse
 from pagewatch.functions.urls import is_home_page, url_host
 
 NavRules = Sequence[tuple[str, str]]
@@ -140,26 +141,28 @@ def nav_links_of(
     url: Column,
     rules: NavRules = DEFAULT_NAV_RULES,
     homepage_only: bool = True,
-    entities: str = "basic",
 ) -> Column:
     """Same-host links of the navigation, in document order, as url and text."""
-    host = url_host(url)
-    container = None
-    for host_part, selector in rules:
-        picked = nav_container(markup, selector)
-        container = (F if container is None else container).when(host.contains(host_part), picked)
-    wanted = host.isNotNull() if not homepage_only else host.isNotNull() & is_home_page(url)
-    found = F.when(wanted, _links_in(container, host, entities))
-    return F.coalesce(found, F.array().cast(LINK_TYPE))
-
-
-def _links_in(container: Column, host: Column, entities: str) -> Column:
-    anchors = F.regexp_extract_all(container, F.lit(ANCHOR), 0)
+    def on_host(host: Column) -> Column:
+        container = None
+        for host_part, selector in rules:
+            picked = nav_container(markup, selector)
+            container = (F if container is None else container).when(
+                host.contains(host_part), picked
+            )
+        anchors = F.regexp_extract_all(container, F.lit(ANCHOR), 0)
+        wanted = host.isNotNull() & is_home_page(url) if homepage_only else host.isNotNull()
+        return F.when(wanted, let(anchors, lambda found: _links_in(found, host)))
+
+    return F.coalesce(let(url_host(url), on_host), F.array().cast(LINK_TYPE))
+
+
+def _links_in(anchors: Column, host: Column) -> Column:
     hrefs = F.transform(
         anchors,
         lambda a: attribute(F.regexp_extract(a, rf"(?s)^{ANY_TAG}", 0), "href"),
     )
-    texts = F.transform(decode_each(F.transform(anchors, strip_tags), entities), ws_collapse)
+    texts = F.transform(anchors, lambda a: ws_collapse(decode_entities(strip_tags(a))))
 
     def link(href: Column, text: Column) -> Column:
         absolute = href.startswith("http://") | href.startswith("https://")
@@ -177,13 +180,8 @@ def nav_links(
     url: Column,
     rules: NavRules = DEFAULT_NAV_RULES,
     homepage_only: bool = True,
-    entities: str = "basic",
 ) -> Column:
-    from pagewatch.functions.markup import page_markup
-
-    return let(
-        page_markup(html), lambda m: nav_links_of(m, url, rules, homepage_only, entities)
-    )
+    return let(page_markup(html), lambda m: nav_links_of(m, url, rules, homepage_only))
 
 
 def nav_map(links: Column) -> Column:

@@ -20,7 +20,12 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-WS_CLASS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+WS_MEMBERS = (
+    r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+)
+# Printable ASCII is ruled out by one range test before the members are tried.
+WS_CLASS = f"[[^!-~]&&[{WS_MEMBERS}]]"
+WS_BUT_SPACE = f"[[^ -~]&&[{WS_MEMBERS}]]"
 
 # Entities that are frequent enough to be replaced before the general pass.
 COMMON_ENTITIES = {
@@ -57,13 +62,17 @@ def ws_trim(col: Column) -> Column:
 
 
 def ws_collapse(col: Column) -> Column:
-    """Runs of whitespace become one space, ends are trimmed."""
-    return F.trim(replace_regex(col, WS_CLASS + "+", " "))
+    """Runs of whitespace become one space, ends are trimmed.
+
+    A run that already is one plain space does not match, so that prose, where
+    most runs are, is scanned and not rebuilt.
+    """
+    return F.trim(replace_regex(col, f"{WS_BUT_SPACE}{WS_CLASS}*+| {WS_CLASS}++", " "))
 
 
 def is_blank(col: Column) -> Column:
     """Null, empty or only whitespace; stops at the first visible character."""
-    return ~F.coalesce(col.rlike(WS_CLASS.replace("[", "[^", 1)), F.lit(False))
+    return ~F.coalesce(col.rlike(f"[^{WS_MEMBERS}]"), F.lit(False))
 
 
 def utf16_length(col: Column) -> Column:
@@ -104,14 +113,14 @@ def html_escape(col: Column) -> Column:
 
 
 def _char_of(code_point: Column) -> Column:
-    utf32 = F.unhex(F.lpad(F.hex(code_point), 8, "0"))
-    valid = (
-        (code_point > 0)
-        & (code_point <= 0x10FFFF)
-        & ~code_point.between(0xD800, 0xDFFF)
-    )
-    decoded = F.translate(F.decode(utf32, "UTF-32"), C1_CONTROLS, C1_AS_CP1252)
-    return F.when(valid, decoded).otherwise(F.lit("\ufffd"))
+    def decoded(code: Column) -> Column:
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(valid, F.translate(char, C1_CONTROLS, C1_AS_CP1252)).otherwise(
+            F.lit("\ufffd")
+        )
+
+    return let(code_point, decoded)
 
 
 def _entity_table() -> Column:

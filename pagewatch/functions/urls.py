@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagewatch.functions.text import let, replace_regex
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+OTHER_SCHEME = r"^(?!(?i:https?):)[A-Za-z][A-Za-z0-9+.-]*:"
 # Groups: scheme, user info with @, host, port, path, query, fragment.
 HTTP_URL = (
     r"(?is)^(https?):[/\\]*([^/\\?#]*@)?"
@@ -37,36 +38,34 @@ def _part(cleaned: Column, group: int) -> Column:
     return F.regexp_extract(cleaned, HTTP_URL, group)
 
 
+def _is_http(cleaned: Column) -> Column:
+    port = F.nullif(_part(cleaned, 4), F.lit(""))
+    port_fits = F.coalesce(F.try_to_number(port, F.lit("99999")) <= 65535, F.lit(True))
+    return F.coalesce(cleaned.rlike(HTTP_URL) & port_fits, F.lit(False))
+
+
+def _has_other_scheme(cleaned: Column) -> Column:
+    return F.coalesce(cleaned.rlike(OTHER_SCHEME), F.lit(False))
+
+
 def is_http_url(url: Column) -> Column:
     """Absolute http or https URL with a plausible host and port."""
-    def valid(cleaned: Column) -> Column:
-        port = F.nullif(_part(cleaned, 4), F.lit(""))
-        return cleaned.rlike(HTTP_URL) & F.coalesce(
-            F.try_to_number(port, F.lit("99999")) <= 65535, F.lit(True)
-        )
-
-    return F.coalesce(let(_clean(url), valid), F.lit(False))
+    return let(_clean(url), _is_http)
 
 
 def is_any_url(url: Column) -> Column:
     """Anything with a scheme; only http and https must also have a host."""
-    cleaned = _clean(url)
-    return F.coalesce(
-        F.when(cleaned.rlike("(?i)^https?:"), is_http_url(url)).otherwise(cleaned.rlike(SCHEME)),
-        F.lit(False),
-    )
+    return let(_clean(url), lambda c: _is_http(c) | _has_other_scheme(c))
 
 
 def url_host(url: Column) -> Column:
     """Lower-case host of an http(s) URL, null if the URL is not valid."""
-    return F.when(is_http_url(url), F.lower(_part(_clean(url), 3)))
+    return let(_clean(url), lambda c: F.when(_is_http(c), F.lower(_part(c, 3))))
 
 
 def url_path(url: Column) -> Column:
     """Path of an http(s) URL, at least `/`, null if the URL is not valid."""
-    return F.when(
-        is_http_url(url), let(_clean(url), lambda c: _resolved_path(_part(c, 5)))
-    )
+    return let(_clean(url), lambda c: F.when(_is_http(c), _resolved_path(_part(c, 5))))
 
 
 def is_home_page(url: Column) -> Column:
@@ -79,17 +78,15 @@ def _percent_encode(text: Column, needs_encoding: str) -> Column:
         escaped = F.replace(F.url_encode(char), F.lit("+"), F.lit("%20"))
         return F.when(char.rlike(needs_encoding), escaped).otherwise(char)
 
-    return F.when(
-        text.rlike(needs_encoding),
-        F.array_join(F.transform(F.split(text, ""), encoded), ""),
-    ).otherwise(text)
+    def whole(value: Column) -> Column:
+        characters = F.transform(F.split(value, ""), encoded)
+        return F.when(value.rlike(needs_encoding), F.array_join(characters, "")).otherwise(value)
+
+    return let(text, whole)
 
 
 def _resolve_dots(path: Column) -> Column:
     """Remove `.` and `..` segments; the last one leaves its slash behind."""
-    segments = F.split(F.substring(path, 2, 2147483647), "/")
-    last = F.element_at(segments, -1)
-
     def step(kept: Column, segment: Column) -> Column:
         plain = replace_regex(F.lower(segment), "%2e", ".")
         return (
@@ -98,19 +95,26 @@ def _resolve_dots(path: Column) -> Column:
             .otherwise(F.concat(kept, F.array(segment)))
         )
 
+    segments = F.split(F.substring(path, 2, 2147483647), "/")
     kept = F.aggregate(segments, F.expr("cast(array() as array<string>)"), step)
-    ends_in_dots = replace_regex(F.lower(last), "%2e", ".").isin(".", "..")
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    return F.when(ends_in_dots & (joined != "/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+    ends_in_dots = path.rlike(r"(?i)/(?:\.|%2e){1,2}\z")
+    return let(
+        F.concat(F.lit("/"), F.array_join(kept, "/")),
+        lambda joined: F.when(
+            ends_in_dots & (joined != "/"), F.concat(joined, F.lit("/"))
+        ).otherwise(joined),
+    )
 
 
 def _resolved_path(path: Column) -> Column:
-    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
-    return (
-        F.when(slashed == "", F.lit("/"))
-        .when(slashed.rlike(DOT_SEGMENT), _resolve_dots(slashed))
-        .otherwise(slashed)
-    )
+    def resolved(slashed: Column) -> Column:
+        return (
+            F.when(slashed == "", F.lit("/"))
+            .when(slashed.rlike(DOT_SEGMENT), _resolve_dots(slashed))
+            .otherwise(slashed)
+        )
+
+    return let(F.replace(path, F.lit("\\"), F.lit("/")), resolved)
 
 
 def normalize_url(url: Column) -> Column:
@@ -136,6 +140,7 @@ def normalize_url(url: Column) -> Column:
         scheme = F.regexp_extract(cleaned, SCHEME, 0)
         return F.concat(F.lower(scheme), F.substr(cleaned, F.length(scheme) + 1))
 
-    return F.when(is_http_url(url), let(_clean(url), http_href)).when(
-        is_any_url(url), let(_clean(url), other_href)
+    return let(
+        _clean(url),
+        lambda c: F.when(_is_http(c), http_href(c)).when(_has_other_scheme(c), other_href(c)),
     )

@@ -30,7 +30,7 @@ def _parsed_columns(
         "text": F.when(F.col("is_robots"), raw_text).otherwise(
             M.visible_text_of(markup, entities)
         ),
-        "nav": nav_links_of(markup, F.col("url"), nav_rules, homepage_only, entities),
+        "nav": nav_links_of(markup, F.col("url"), nav_rules, homepage_only),
     }
 
 
