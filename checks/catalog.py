@@ -498,13 +498,15 @@ def report_subject(spark, sf_dir):
 
 
 def subject_by_section(spark, sf_dir):
-    """The subject each section would give if it were the first one with lines."""
-    found = None
-    for rank, section in enumerate(R.SECTIONS, start=1):
-        rest = lines(spark, sf_dir).filter(F.col("section_rank") >= rank)
-        row = R.report_subject(rest).select(F.lit(section).alias("first_section"), "subject")
-        found = row if found is None else found.unionByName(row)
-    return found
+    """The subject each section would give if none before it had lines."""
+    ranks = F.explode(F.sequence(F.lit(1), F.col("section_rank")))
+    considered = lines(spark, sf_dir).select("section_rank", ranks.alias("first_rank"))
+    names = F.array(*[F.lit(s) for s in R.SECTIONS])
+    return (
+        considered.groupBy("first_rank")
+        .agg(R.subject_of(F.min("section_rank")).alias("subject"))
+        .select(F.get(names, F.col("first_rank") - 1).alias("first_section"), "subject")
+    )
 
 
 def report_flags(spark, sf_dir):
