@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -84,7 +85,7 @@ def monitor_run(
     audited = audit_pages(pages)
     changes, issues = change_rows(comparisons), issue_rows(audited)
     lines = report_lines(audited, comparisons, failures)
-    now = F.to_timestamp(F.lit(run_key), F.lit("yyyyMMddHHmmss"))
+    now = dt.datetime.strptime(run_key, "%Y%m%d%H%M%S")
     return MonitorRun(
         pages=pages,
         failures=failures,
