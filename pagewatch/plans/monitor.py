@@ -34,7 +34,7 @@ def compare_run(
 
 @dataclass(frozen=True)
 class MonitorRun:
-    """Tables of one run, all lazy and all read from what the run has stored."""
+    """Tables of one run; all read what the run has written and repeat none of its work."""
 
     pages: DataFrame
     failures: DataFrame
@@ -47,11 +47,16 @@ class MonitorRun:
     kept: DataFrame
 
 
+def _write_once(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    schema = rows.schema
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def monitor_run(
     spark: SparkSession,
     attempts: DataFrame,
-    store: str,
-    failure_log: str,
+    home: str,
     run_key: str,
     nav_rules: NavRules = DEFAULT_NAV_RULES,
     max_retries: int = 3,
@@ -59,29 +64,37 @@ def monitor_run(
 ) -> MonitorRun:
     """Resolve fetches, store the pages, compare them and report.
 
-    `run_key` is the run's time as yyyyMMddHHmmss. Pages and failures are
-    written once and read back, so parsing is never repeated and a lost
-    executor costs only the tasks it held. Deleting what `kept` leaves out is
-    up to the caller: drop dates of a store table or rewrite the store.
+    `run_key` is the run's time as yyyyMMddHHmmss; `home` is a folder all
+    executors share. Versions, failures and comparisons are each written once
+    and read back, so parsing is never repeated and a lost executor costs only
+    the tasks it held. A run that was cut short may be started again: pages it
+    has stored already are not stored twice, the rest is overwritten. Deleting
+    what `kept` leaves out is up to the caller: drop dates of a store table or
+    rewrite the store.
     """
-    results = resolve_fetches(attempts, max_retries)
-    fetched, failed = split_results(results)
-    versions = extract_page_fields(fetched.withColumn("ts_key", F.lit(run_key)), nav_rules)
-    append_versions(versions, store)
-    failed.withColumn("run_key", F.lit(run_key)).write.mode("append").partitionBy(
-        "run_key"
-    ).parquet(failure_log)
+    store = f"{home}/versions"
+    run_date = F.lit(run_key[:8])
+
+    def stored_pages(versions: DataFrame) -> DataFrame:
+        of_run = (F.col("snapshot_date") == run_date) & (F.col("ts_key") == run_key)
+        return versions.filter(of_run)
+
+    fetched, failed = split_results(resolve_fetches(attempts, max_retries))
+    missing = fetched.join(
+        stored_pages(read_versions(spark, store)).select("url"), "url", "left_anti"
+    )
+    append_versions(
+        extract_page_fields(missing.withColumn("ts_key", F.lit(run_key)), nav_rules), store
+    )
+    failures = _write_once(spark, failed, f"{home}/failures/run_key={run_key}")
 
     stored = read_versions(spark, store)
-    run_date = F.lit(run_key[:8])
-    pages = stored.filter((F.col("snapshot_date") == run_date) & (F.col("ts_key") == run_key))
-    failures = (
-        spark.read.schema("url string, error string, run_key string")
-        .parquet(failure_log)
-        .filter(F.col("run_key") == run_key)
-        .select("url", "error")
+    pages = stored_pages(stored)
+    comparisons = _write_once(
+        spark,
+        compare_run(stored, pages.select("url")),
+        f"{home}/comparisons/run_key={run_key}",
     )
-    comparisons = compare_run(stored, pages.select("url"))
     audited = audit_pages(pages)
     changes, issues = change_rows(comparisons), issue_rows(audited)
     lines = report_lines(audited, comparisons, failures)

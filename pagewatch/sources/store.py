@@ -14,8 +14,15 @@ from pyspark.sql.utils import AnalysisException
 from pagewatch.schemas import PAGE_VERSIONS
 
 
-def append_versions(versions: DataFrame, path: str) -> None:
-    """Append page versions to the store."""
+def append_versions(versions: DataFrame, path: str, many_dates: bool = False) -> None:
+    """Append page versions to the store.
+
+    A run has one date, and every task writes one file. A backfill of many
+    dates should set `many_dates`: rows are then gathered by date, large dates
+    split over several tasks, so that tasks do not write a small file per date.
+    """
+    if many_dates:
+        versions = versions.hint("rebalance", "snapshot_date")
     versions.write.mode("append").partitionBy("snapshot_date").parquet(path)
 
 

@@ -60,7 +60,7 @@ def test_saved_files_are_loaded_once(spark, tmp_path):
     saved = read_saved_pages(spark, str(folder))
     path = str(tmp_path / "store")
     first = backfill_run(saved, read_versions(spark, path), "20240105")
-    append_versions(first, path)
+    append_versions(first, path, many_dates=True)
     stored = read_versions(spark, path)
     assert {(r.url, r.text) for r in stored.collect()} == {("https://www.x.com", "Hline 1 line 2")}
     assert stored.count() == 2
@@ -72,26 +72,30 @@ def attempts(spark, rows):
 
 
 def test_monitor_runs(spark, tmp_path):
-    store, log = str(tmp_path / "store"), str(tmp_path / "failures")
+    home = str(tmp_path)
     first = [("https://x.com/", 1, 200, HTML.format(t="A", b="y" * 2000)), ("https://bad.com/", 1, 403, "")]
-    one = monitor_run(spark, attempts(spark, first), store, log, "20240101000000")
+    one = monitor_run(spark, attempts(spark, first), home, "20240101000000")
     assert one.subject.first().subject == "SEO Monitor - Critical Issues Found"
     assert [r.url for r in one.failures.collect()] == ["https://bad.com/"]
     assert [r.first_scrape for r in one.comparisons.collect()] == [True]
     assert one.major.count() == 0
 
     second = [("https://x.com/", 1, 500, ""), ("https://x.com/", 2, 200, HTML.format(t="B", b="y" * 4000)), ("https://new.com/", 1, 200, HTML.format(t="N", b="z" * 1000))]
-    two = monitor_run(spark, attempts(spark, second), store, log, "20240102000000")
+    two = monitor_run(spark, attempts(spark, second), home, "20240102000000")
     assert sorted(r.url for r in two.pages.collect()) == ["https://new.com/", "https://x.com/"]
     assert two.failures.count() == 0
     found = change_rows(two.comparisons).select("url", "type").collect()
     assert sorted(r.type for r in found) == ["content", "title"] and {r.url for r in found} == {"https://x.com/"}
     assert [r.new_text for r in two.major.collect()] == ["H" + "y" * 4000]
-    assert two.counts.first().source_changes == 1
+    counts = two.counts.first()
+    assert counts.source_changes == 1
     assert not two.flags.first().all_ok
     assert two.kept.count() == 3
 
-    later = monitor_run(spark, attempts(spark, second[1:]), store, log, "20240201000000")
+    again = monitor_run(spark, attempts(spark, second), home, "20240102000000")
+    assert again.pages.count() == 2 and again.counts.first() == counts
+
+    later = monitor_run(spark, attempts(spark, second[1:]), home, "20240201000000")
     assert sorted(r.ts_key for r in later.kept.collect()) == ["20240102000000"] * 2 + ["20240201000000"] * 2
     assert change_rows(later.comparisons).count() == 0
 
