@@ -24,6 +24,7 @@ SECTIONS = {
     "notices": "Notices",
 }
 ALL_OK_SUBJECT = "All OK"
+SUBJECT_PREFIX = "SEO Monitor"
 PREVIEW_LENGTH = 200
 SCRAPE_FAILED = "scrape_failed"
 FIRST_SCRAPE = "first_scrape"
@@ -218,13 +219,13 @@ def report_lines(audited: DataFrame, comparisons: DataFrame, failures: DataFrame
     return lines.select("section", rank.cast("int").alias("section_rank"), "url", "lines")
 
 
-def subject_of(rank: Column, prefix: str = "SEO Monitor") -> Column:
+def subject_of(rank: Column, prefix: str = SUBJECT_PREFIX) -> Column:
     """Subject for the rank of the first section that has lines, null if none has."""
     subjects = F.array(*[F.lit(s) for s in SECTIONS.values()])
     chosen = F.coalesce(F.get(subjects, rank - 1), F.lit(ALL_OK_SUBJECT))
     return F.concat(F.lit(f"{prefix} - "), chosen)
 
 
-def report_subject(lines: DataFrame, prefix: str = "SEO Monitor") -> DataFrame:
+def report_subject(lines: DataFrame, prefix: str = SUBJECT_PREFIX) -> DataFrame:
     """Subject of the first section in report order that has lines."""
     return lines.agg(subject_of(F.min("section_rank"), prefix).alias("subject"))
