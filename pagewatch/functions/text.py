@@ -143,7 +143,7 @@ def _decode_piece(piece: Column, names: Column) -> Column:
         )
         rest = F.substr(piece, F.length(token) + 1)
         # An ampersand stays escaped until the last step, or it would be decoded twice.
-        char = F.when(char == "&", F.lit("&amp;")).otherwise(char)
+        char = let(char, lambda c: F.when(c == "&", F.lit("&amp;")).otherwise(c))
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
 
     token = F.regexp_extract(

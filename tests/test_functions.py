@@ -74,6 +74,7 @@ URLS = {
     "https://u:p@X.com/a/..": "https://u:p@x.com/",
     "https://x.com/a/b/..": "https://x.com/a/",
     "https://x.com/..": "https://x.com/",
+    "https://x.com/😀?'": "https://x.com/%F0%9F%98%80?%27",
     "mailto:A": "mailto:A",
     "/rel": None,
     "": None,
