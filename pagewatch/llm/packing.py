@@ -12,6 +12,7 @@ rows; columns other than doc_id and text are not read. Nothing is unbounded but
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import Remembered, checkpointed, table
+from pagewatch.llm.common import checkpointed, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -30,31 +31,55 @@ PIECES = "doc_id long, row long, piece int, start long, length int, ids_crc32 lo
 PARTS = 512
 
 
-def token_bytes(path: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit integers.
+class TokenIds:
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
-    A space between two characters that are not white space always starts a new token of the byte-level splitting, so
-    the words between such spaces are encoded once each and remembered. Other texts are encoded whole.
+    The byte-level splitting starts a new token at a single space or line feed between two other characters, and a space
+    belongs to the word behind it. So the words of a text are encoded once each, many in one call, and remembered. Texts with white
+    space side by side, at an end, or with the mark of a special token are encoded whole.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-
-    def encoded(text: str) -> bytes:
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    words = Remembered(encoded)
-
-    def ids(text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if "<|" in text or not all(parts) or any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return encoded(text)
-        head, *rest = parts
-        return words[head] + b"".join([words[" " + w] for w in rest])
-
-    return ids
+    ODD = re.compile(r"\s\s|^\s|\s\Z|<\|")
+
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.line_feed = self.encoded("\n")
+        self.heads: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def encoded(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str], before: str, known: dict[str, bytes]) -> None:
+        """Encodes words as lines of one text and cuts its ids at the line feeds."""
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.asarray(self.tokenizer.encode("\n".join([before + w for w in part]), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == np.frombuffer(self.line_feed, "<u4")[0]).tolist()
+            if len(cuts) != len(part) - 1:
+                known.update((w, self.encoded(before + w)) for w in part)
+                continue
+            data = ids.tobytes()
+            known.update((w, data[4 * a + 4 : 4 * b]) for w, a, b in zip(part, [-1, *cuts], [*cuts, len(ids)]))
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(texts), 256):
+            part = texts[k : k + 256]
+            cut = [None if not t or self.ODD.search(t) else [line.split(" ") for line in t.split("\n")] for t in part]
+            for known, words, before in (
+                (self.heads, {line[0] for lines in cut if lines for line in lines}, ""),
+                (self.spaced, set().union(*(line[1:] for lines in cut if lines for line in lines)), " "),
+            ):
+                if len(known) > self.most:
+                    known.clear()
+                self.learn([w for w in words if w not in known], before, known)
+            for text, lines in zip(part, cut):
+                if lines is None:
+                    yield self.encoded(text) if text else b""
+                else:
+                    yield self.line_feed.join([self.heads[line[0]] + b"".join(map(self.spaced.__getitem__, line[1:])) for line in lines])
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -66,13 +91,14 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
             import public_tokenizers
 
             file = public_tokenizers.path(TOKENIZER)
-        ids_of = token_bytes(file)
+        token_ids = TokenIds(file)
         end = np.asarray([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
         for batch in batches:
             out: list[tuple] = []
-            for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = ids_of(text or "") + end
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), token_ids.of(texts)):
+                ids += end
                 n = len(ids) // 4
                 ends = range((n - 1) % capacity + 1, n + 1, capacity)
                 start = 0
