@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from pagewatch.llm.languages import op2_language_id
+from pagewatch.llm.licences import op3_licence_scans
 from pagewatch.llm.mixing import op6_mixing
 from pagewatch.llm.packing import op10_best_fit_packing
 from pagewatch.llm.sharding import op7_sharding, op7_sql
 from pagewatch.llm.topk import op4_exact_top_k, op4_sql
+from pagewatch.llm.toxicity import op1_toxicity
 
-LLM_QUERIES = {f.__name__: f for f in (op4_exact_top_k, op6_mixing, op7_sharding, op10_best_fit_packing)}
+LLM_QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_language_id, op3_licence_scans, op4_exact_top_k, op6_mixing, op7_sharding, op10_best_fit_packing)
+}
 LLM_ORACLES = {"op4_exact_top_k": op4_sql(), "op7_sharding": op7_sql()}
