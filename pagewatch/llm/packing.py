@@ -12,7 +12,6 @@ rows; columns other than doc_id and text are not read. Nothing is unbounded but
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,29 +34,34 @@ class TokenIds:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     The byte-level splitting starts a new token at a single space or line feed between two other characters, and a space
-    belongs to the word behind it. So the words of a text are encoded once each, many in one call, and remembered. Texts with white
-    space side by side, at an end, or with the mark of a special token are encoded whole.
+    belongs to the word behind it. So the words of a text are encoded once each, many in one call, and remembered. Texts
+    with white space side by side or at an end, or with the mark of a special token, are encoded whole.
     """
 
-    ODD = re.compile(r"\s\s|^\s|\s\Z|<\|")
-
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.line_feed = self.encoded("\n")
-        self.heads: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.heads: dict[str, bytes | None] = {}
+        self.spaced: dict[str, bytes | None] = {}
 
-    def encoded(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: list[str], before: str, known: dict[str, bytes]) -> None:
-        """Encodes words as lines of one text and cuts its ids at the line feeds."""
+    def encoded(self, text: str) -> bytes:
+        return self.ids(text).tobytes()
+
+    def learn(self, words: list[str], before: str, known: dict[str, bytes | None]) -> None:
+        """Encodes words as lines of one text and cuts its ids at the line feeds; None marks words whose text is to be encoded whole."""
+        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace() or "<|" in w]
+        known.update(dict.fromkeys(odd))
+        words = [w for w in words if w not in known] if odd else words
+        feed = np.frombuffer(self.line_feed, "<u4")[0]
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = np.asarray(self.tokenizer.encode("\n".join([before + w for w in part]), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.line_feed, "<u4")[0]).tolist()
+            ids = self.ids("\n".join([before + w for w in part]))
+            cuts = np.flatnonzero(ids == feed).tolist()
             if len(cuts) != len(part) - 1:
                 known.update((w, self.encoded(before + w)) for w in part)
                 continue
@@ -67,19 +71,19 @@ class TokenIds:
     def of(self, texts: list[str]) -> Iterator[bytes]:
         for k in range(0, len(texts), 256):
             part = texts[k : k + 256]
-            cut = [None if not t or self.ODD.search(t) else [line.split(" ") for line in t.split("\n")] for t in part]
+            cut = [[line.split(" ") for line in t.split("\n")] for t in part]
             for known, words, before in (
-                (self.heads, {line[0] for lines in cut if lines for line in lines}, ""),
-                (self.spaced, set().union(*(line[1:] for lines in cut if lines for line in lines)), " "),
+                (self.heads, {line[0] for lines in cut for line in lines}, ""),
+                (self.spaced, set().union(*(line[1:] for lines in cut for line in lines)), " "),
             ):
                 if len(known) > self.most:
                     known.clear()
                 self.learn([w for w in words if w not in known], before, known)
             for text, lines in zip(part, cut):
-                if lines is None:
-                    yield self.encoded(text) if text else b""
-                else:
+                try:
                     yield self.line_feed.join([self.heads[line[0]] + b"".join(map(self.spaced.__getitem__, line[1:])) for line in lines])
+                except TypeError:  # a word marked None
+                    yield self.encoded(text)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
