@@ -214,8 +214,8 @@ def training_rows(docs: DataFrame, most: int = TRAIN_DOCS) -> list:
     return sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))
 
 
-def identify(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row of `docs` (doc_id, text, lang)."""
+def identify(docs: DataFrame, most: int = TRAIN_DOCS, carried: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each row of `docs` (doc_id, text, lang), and with `carried` its columns as a struct of that name."""
     rows = training_rows(docs, most)
     model = train([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -223,10 +223,13 @@ def identify(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
         for batch in batches:
             found = model.predict(batch.column(2).to_pylist())
             columns = list(zip(*found)) or [(), ()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            more = [batch.column(3)] if carried else []
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), *more], ["doc_id", "held_out", "lang_pred", "score", *["carried"] * carried])
 
-    asked = docs.select(F.col("doc_id").cast("long"), held_out(5, 0).alias("held_out"), F.col("text").cast("string"))
-    return asked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] * carried
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), F.col("text").cast("string").alias("text"), *whole)
+    schema = "doc_id long, held_out boolean, lang_pred string, score double" + (f", carried {asked.schema['carried'].dataType.simpleString()}" if carried else "")
+    return asked.mapInArrow(run, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

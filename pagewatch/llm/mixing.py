@@ -106,7 +106,7 @@ def least_cost_flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST_U
     return taken
 
 
-def seeded_take(sized: DataFrame, group: list[str], wanted: DataFrame, seed: int = SEED) -> DataFrame:
+def seeded_take(sized: DataFrame, group: list[str], wanted: DataFrame, seed: int = SEED, carried: tuple = ()) -> DataFrame:
     """`sized` (group columns, doc_id, size) with `taken`: `wanted` (group columns, words) taken from each group.
 
     `wanted` has a row for each group, a number that the caller has counted.
@@ -147,19 +147,19 @@ def seeded_take(sized: DataFrame, group: list[str], wanted: DataFrame, seed: int
     last = rows.where(at_end).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     last = last.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("more_inner") - F.col("before"))))
     rest = rows.where(~at_end).withColumn("extra", F.when(front, F.col("size")).otherwise(0))
-    kept = [*group, "row", "doc_id", "size"]
+    kept = [*group, "doc_id", "size", *carried]
     taken = (F.col("uses") * F.col("size") + F.col("extra")).cast("long").alias("taken")
     return rest.select(*kept, taken).unionByName(last.select(*kept, taken))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_USES, seed: int = SEED) -> DataFrame:
-    """Row (its number in `docs`), doc_id, sources, size, source sizes and targets, and the words taken.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_USES, seed: int = SEED, carried: tuple = ()) -> DataFrame:
+    """doc_id, sources, size, source sizes and targets, the words taken, and the `carried` columns of each row.
 
     `docs` has doc_id, text and `sources`, an array of the sources that hold the document; null stands for no source.
     """
     spark = docs.sparkSession
     sized = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
+        "doc_id", *carried,
         F.array_sort(F.array_distinct(F.coalesce("sources", F.array(F.lit(None).cast("string"))))).alias("sources"), size_of(F.col("text")).alias("size"),
     )
     sized = checkpointed(sized)
@@ -172,7 +172,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     flow = least_cost_flow(patterns, aims, most)
     wanted = spark.createDataFrame([(list(p), int(n)) for p, n in flow.items()], "sources array<string>, words long")
     known = spark.createDataFrame([(list(p), [sizes[s] for s in p], [float(aims[s]) for s in p]) for p in patterns], "sources array<string>, source_sizes array<long>, targets array<double>")
-    taken = seeded_take(sized, ["sources"], wanted, seed)
+    taken = seeded_take(sized, ["sources"], wanted, seed, carried)
     return taken.join(F.broadcast(known), "sources")
 
 
