@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from pagewatch.llm.common import held_out, letters_and_digits, table
 
-TRAIN_TOXIC = 700
-TRAIN_CLEAN = 1800
+TRAIN_TOXIC = 600
+TRAIN_CLEAN = 1500
 PIECE = 2
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
@@ -89,7 +89,10 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED) -> tuple[np.ndar
     y_text = np.asarray(toxic)
     distinct = sorted({w for ws in words for w in ws})
     number = {w: k for k, w in enumerate(distinct)}
-    grams, sizes = subwords(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    cut = [subwords(distinct[k : k + 10_000]) for k in range(0, len(distinct), 10_000)]  # a part at a time, for the sake of memory
+    grams = np.concatenate([np.zeros(0, np.int32), *(g.astype(np.int32) for g, _ in cut)])
+    sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in cut)])
+    del cut
     begins = np.cumsum(sizes) - sizes
     seen = np.zeros(BUCKETS, np.int32)
     for ws in words:
@@ -103,7 +106,7 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED) -> tuple[np.ndar
     slot[kept] = np.arange(len(kept))
     has = slot[grams] >= 0
     flat = slot[grams][has]
-    owner = np.repeat(np.arange(len(distinct)), sizes)[has]
+    owner = np.repeat(np.arange(len(distinct), dtype=np.int32), sizes)[has]
     sizes = sizes.astype(np.float32)  # with subwords that have no embedding
     _, words_there, word_starts = _by(owner, len(distinct))
     to_slot, slots_there, slot_starts = _by(flat, len(kept))
