@@ -7,13 +7,13 @@ letters are joined depends on them and on their neighbours alone; each symbol ca
 depends on. Equal passages hence consist of the same symbols inside, however their surroundings differ.
 
 A window is `WINDOW` consecutive words. Of the symbols whose stretch lies within a window, the longest one (ties by hash)
-is its anchor; that is a function of the window's words only, so equal windows have equal anchors. A window
-without such a symbol, as in a long run of one word, is its own anchor. Spark finds the anchors that more than one document has.
+is its anchor; if there is none, the same is tried with the symbols before the first pair round. That is a function of the window's
+words only, so equal windows have equal anchors. A window without any such symbol, as in a long run of one word, is its own anchor. Spark finds the anchors that more than one document has.
 Only windows at shared anchors can occur in two documents; those are compared with a 128-bit hash of their words, and
 a window that also occurs in a document with a smaller id is removed with all its words.
 
 Words are [^\\x20\\x09-\\x0D]+ of the whole text; null and empty texts have none. Rows with a null id neither lose words nor
-take any from others. Rows with the same id do not count as other documents; each repeated row loses the same words.
+take any from others. Copies of a whole text are found by a 128-bit hash first, and only the one with the least id is compared by windows. Rows with the same id do not count as other documents; each repeated row loses the same words.
 Texts of fewer words than a window stay. An empty table gives no rows. Only doc_id and text are read.
 """
 
@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import Remembered, shared_dir, spaced_words, table
+from pagewatch.llm.common import Remembered, checkpointed, shared_dir, spaced_words, table
 
 WINDOW = 50
-ROUNDS = 6
+ROUNDS = 4
 #: Symbols of more words are not joined further, runs apart.
 LONGEST = 16
 #: Words that are handled at once.
@@ -114,22 +114,25 @@ def anchors(text: Text, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(walls[width:] == walls[:-width]) if count else np.zeros(0, np.int64)
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    name, length, low, high = recompressed(text)
-    # The longest symbols have the least rank.
-    rank = (mixed(name, 7) >> np.uint64(5)) | ((31 - np.minimum(length, 31)).astype(np.uint64) << np.uint64(59))
-    first = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=text.size + 1))])[at]
-    last = np.cumsum(np.bincount(high, minlength=text.size + 2))[at + width] - 1
     found = window_hashes(text.words, width, 30)[at] | np.uint64(31) << np.uint64(59)
-    inside = last - first + 1
-    least, step = rank, 1
-    while True:
-        here = (inside >= step) & (inside < 2 * step)
-        if here.any():
-            found[here] = np.minimum(least[first[here]], least[last[here] - step + 1])
-        if not (inside >= 2 * step).any():
-            return at, found
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
+    open_ = np.arange(len(at))
+    for rounds in (ROUNDS, 0):
+        name, length, low, high = recompressed(text, rounds)
+        # The longest symbols have the least rank.
+        rank = (mixed(name, 7) >> np.uint64(5)) | ((30 - np.minimum(length, 30)).astype(np.uint64) << np.uint64(59))
+        first = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=text.size + 1))])[at[open_]]
+        last = np.cumsum(np.bincount(high, minlength=text.size + 2))[at[open_] + width] - 1
+        inside = last - first + 1
+        least, step = rank, 1
+        while step <= inside.max(initial=0):
+            here = (inside >= step) & (inside < 2 * step)
+            found[open_[here]] = np.minimum(least[first[here]], least[last[here] - step + 1])
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        open_ = open_[inside < 1]
+        if not len(open_):
+            break
+    return at, found
 
 
 def hashed(known: Remembered, words: list[bytes]) -> list[int]:
@@ -165,14 +168,15 @@ def _as_long(x: np.ndarray) -> np.ndarray:
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Remembered(xxhash.xxh64_intdigest)
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("anchors", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("whole", pa.binary()), ("anchors", pa.list_(pa.int64()))])
     for some in batches_of(((v, w, h) for v, w, h in _rows(batches, known) if len(w) >= WINDOW), 1):
         text = Text([h for _, _, h in some])
         at, found = anchors(text)
         cuts = np.searchsorted(at, [*text.starts, text.size])
         own = [np.unique(_as_long(found[a:b])) for a, b in zip(cuts, cuts[1:])]
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)]).astype(np.int32), pa.array(np.concatenate(own)))
-        yield pa.record_batch([pa.array([v[0] for v, _, _ in some], pa.int64()), pa.array([v[1] for v, _, _ in some], pa.int64()), lists], schema=schema)
+        whole = [xxhash.xxh3_128_digest(b" ".join(w)) for _, w, _ in some]
+        yield pa.record_batch([*(pa.array([v[k] for v, _, _ in some], pa.int64()) for k in (0, 1)), pa.array(whole, pa.binary()), lists], schema=schema)
 
 
 def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +203,9 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for firsts, text in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
             words = kept = spaced_words(text or b"")
-            if firsts:
+            if firsts == [-1]:
+                kept = []
+            elif firsts:
                 change = np.zeros(len(words) + 1, np.int64)
                 np.add.at(change, firsts, 1)
                 np.add.at(change, np.asarray(firsts) + WINDOW, -1)
@@ -210,22 +216,27 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *columns[:3], columns[3].cast(pa.string()), *batch.columns[3:]], ["doc_id", *names, *batch.schema.names[3:]])
 
 
-def shared_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and `firsts` of the windows that also occur in a document with a smaller id.
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """doc_id, digest and `firsts` of the windows that also occur in a document with a smaller id; -1 alone stands for all words.
 
     `docs` has doc_id, digest (a hash of the text; it tells repeated ids with other texts apart) and text.
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/anchors-{uuid.uuid4().hex}"
-    docs.select("doc_id", "digest", "text").mapInArrow(find_anchors, "doc_id long, digest long, anchors array<long>").write.parquet(folder)
-    each = spark.read.parquet(folder).select("doc_id", "digest", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    hits = each.join(shared.select("anchor"), "anchor").groupBy("doc_id", "digest").agg(F.collect_set("anchor").alias("shared"))
+    docs.select("doc_id", "digest", "text").mapInArrow(find_anchors, "doc_id long, digest long, whole binary, anchors array<long>").write.parquet(folder)
+    found = spark.read.parquet(folder)
+    # Every word of a later copy is in a window that the first copy has too.
+    least = found.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("whole", "least")
+    copies = checkpointed(found.select("doc_id", "digest", "whole").join(least, "whole").where("least < doc_id").select("doc_id", "digest").distinct())
+    each = found.select("doc_id", "digest", "anchors").join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "digest", F.explode("anchors").alias("anchor"))
+    shared = checkpointed(each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor"))
+    hits = each.join(shared, "anchor").groupBy("doc_id", "digest").agg(F.collect_set("anchor").alias("shared"))
     asked = docs.join(hits, ["doc_id", "digest"]).select("doc_id", "digest", "shared", "text")
     windows = asked.mapInArrow(find_windows, "doc_id long, digest long, first int, one long, two long")
-    least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    repeated = windows.join(least, ["one", "two"]).where("least < doc_id")
-    return repeated.groupBy("doc_id", "digest").agg(F.collect_set("first").alias("firsts"))
+    earliest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    repeated = windows.join(earliest, ["one", "two"]).where("least < doc_id")
+    firsts = repeated.groupBy("doc_id", "digest").agg(F.collect_set("first").alias("firsts"))
+    return firsts.unionByName(copies.withColumn("firsts", F.array(F.lit(-1))))
 
 
 def deduplicate(docs: DataFrame, carried: bool = False) -> DataFrame:
@@ -238,7 +249,7 @@ def deduplicate(docs: DataFrame, carried: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"), *others)
     more = ["carried"] * carried
     known = rows.where(F.col("doc_id").isNotNull())
-    found = shared_windows(known)
+    found = repeated_windows(known)
     marked = known.join(found, ["doc_id", "digest"], "left").select("doc_id", "firsts", "text", *more)
     nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("array<int>").alias("firsts"), "text", *more)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carried else "")
