@@ -180,9 +180,9 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 128-bit hashes of the windows at shared anchors: columns doc_id, digest, shared, text."""
+    """The 128-bit hashes of the windows at shared anchors: columns doc_id, digest, shared, later (those that a smaller id has), text."""
     known = Remembered(xxhash.xxh64_intdigest)
-    names = ["doc_id", "digest", "first", "one", "two"]
+    names = ["doc_id", "digest", "first", "one", "two", "later"]
     for some in batches_of(_rows(batches, known), 1):
         text = Text([h for _, _, h in some])
         at, found = anchors(text)
@@ -192,7 +192,8 @@ def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = at[chosen]
         one, two = (window_hashes(text.words, WINDOW, seed)[at] for seed in (40, 60))
         ids, digests = (np.asarray([v[k] for v, _, _ in some], np.int64)[owner] for k in (0, 1))
-        yield pa.record_batch([pa.array(ids), pa.array(digests), pa.array((at - text.starts[owner]).astype(np.int32)), pa.array(_as_long(one)), pa.array(_as_long(two))], names)
+        later = np.concatenate([np.isin(_as_long(found[a:b]), v[3]) for (v, _, _), a, b in zip(some, cuts, cuts[1:])])[chosen]
+        yield pa.record_batch([pa.array(ids), pa.array(digests), pa.array((at - text.starts[owner]).astype(np.int32)), pa.array(_as_long(one)), pa.array(_as_long(two)), pa.array(later)], names)
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,12 +230,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     least = found.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("whole", "least")
     copies = checkpointed(found.select("doc_id", "digest", "whole").join(least, "whole").where("least < doc_id").select("doc_id", "digest").distinct())
     each = found.select("doc_id", "digest", "anchors").join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "digest", F.explode("anchors").alias("anchor"))
-    shared = checkpointed(each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor"))
-    hits = each.join(shared, "anchor").groupBy("doc_id", "digest").agg(F.collect_set("anchor").alias("shared"))
-    asked = docs.join(hits, ["doc_id", "digest"]).select("doc_id", "digest", "shared", "text")
-    windows = asked.mapInArrow(find_windows, "doc_id long, digest long, first int, one long, two long")
-    earliest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    repeated = windows.join(earliest, ["one", "two"]).where("least < doc_id")
+    shared = checkpointed(each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor", "least"))
+    later = F.when(F.col("least") < F.col("doc_id"), F.col("anchor"))
+    hits = each.join(shared, "anchor").groupBy("doc_id", "digest").agg(F.collect_set("anchor").alias("shared"), F.collect_set(later).alias("later"))
+    asked = docs.join(hits, ["doc_id", "digest"]).select("doc_id", "digest", "shared", "later", "text")
+    windows = asked.mapInArrow(find_windows, "doc_id long, digest long, first int, one long, two long, later boolean")
+    earliest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"))
+    # A window whose anchor no smaller id has is in no document with a smaller id.
+    repeated = windows.where("later").join(earliest, ["one", "two"]).where("least < doc_id")
     firsts = repeated.groupBy("doc_id", "digest").agg(F.collect_set("first").alias("firsts"))
     return firsts.unionByName(copies.withColumn("firsts", F.array(F.lit(-1))))
 
