@@ -67,7 +67,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_run(versions(spark, sf_dir))
+    return C.compare_versions(pairs(spark, sf_dir))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +326,7 @@ def page_fields(spark, sf_dir):
 
 def visible_texts(spark, sf_dir):
     rows = table(spark, sf_dir, "pages")
-    return D.spread_if_narrow(rows).select(
+    return D.spread(rows).select(
         "page_id", M.visible_text(F.col("html")).alias("text")
     )
 
@@ -386,12 +386,13 @@ def attempt_stats(spark, sf_dir):
 
 
 def robots_changes(spark, sf_dir):
-    fields = ["is_robots", "text_length", "text_digest", "text"]
-    return _flat_changes(C.robots_changes(V.version_pairs(versions(spark, sf_dir), None, fields)))
+    fields = ["is_robots", "text_length", "text_digest", "robots_text"]
+    robots = versions(spark, sf_dir).filter("is_robots")
+    return _flat_changes(C.robots_changes(V.version_pairs(robots, None, fields)))
 
 
 def content_changes(spark, sf_dir):
-    return _flat_changes(C.content_changes(pairs(spark, sf_dir)))
+    return _flat_changes(C.content_changes(pairs(spark, sf_dir), versions(spark, sf_dir)))
 
 
 def _field_changes(kind: str) -> Query:
@@ -403,11 +404,11 @@ def _nav_changes(kind: str) -> Query:
 
 
 def all_changes(spark, sf_dir):
-    return _flat_changes(C.change_rows(comparisons(spark, sf_dir)))
+    return _flat_changes(C.change_rows(compare_run(versions(spark, sf_dir))))
 
 
 def run_comparisons(spark, sf_dir):
-    found = compare_run(versions(spark, sf_dir), run_urls(spark, sf_dir))
+    found = C.compare_versions(V.version_pairs(versions(spark, sf_dir), run_urls(spark, sf_dir)))
     return found.select(
         "url",
         "first_scrape",
@@ -528,7 +529,7 @@ def text_functions(spark, sf_dir):
         T.utf16_length(text).alias("length"),
         T.is_blank(text).alias("blank"),
         T.or_default(F.col("lang"), "(empty)").alias("lang"),
-        T.html_escape(F.substring(text, 1, 200)).alias("escaped"),
+        T.html_escape(text).alias("escaped"),
     )
 
 

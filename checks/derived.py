@@ -11,7 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewatch.sources.spread import spread_if_narrow
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out as the session asks for; a file of one row group, as in a small bench, can't be split in reading."""
+    parts = rows.sparkSession.conf.get("pagewatch.input.partitions", None)
+    return rows if parts is None else rows.repartition(int(parts))
 
 
 @dataclass(frozen=True)
@@ -23,7 +28,7 @@ class Derivation:
     keep: str = "true"
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spread_if_narrow(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
+        rows = spread(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
         for stage in self.stages:
             rows = rows.selectExpr(*[_for_spark(item) for item in stage])
         return rows.filter(self.keep)

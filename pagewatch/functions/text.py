@@ -76,7 +76,10 @@ def is_blank(col: Column) -> Column:
 
 
 def utf16_length(col: Column) -> Column:
-    return (F.octet_length(F.encode(col, "UTF-16BE")) / 2).cast("int")
+    """Code points, and once more those beyond the basic plane, which only texts with non-ASCII bytes can hold."""
+    points = F.char_length(col)
+    beyond = F.regexp_count(col, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.when(F.octet_length(col) == points, points).otherwise(points + beyond).cast("int")
 
 
 def or_default(col: Column, default: str) -> Column:
@@ -123,6 +126,12 @@ def _char_of(code_point: Column) -> Column:
     return let(code_point, decoded)
 
 
+def _number(digits: Column, most: int, base: int) -> Column:
+    """The number of any count of digits; 0, which is no character, if it is beyond all characters."""
+    short = F.ltrim(digits, F.lit("0"))
+    return F.when(F.length(short) <= most, F.conv(F.concat(F.lit("0"), short), base, 10).cast("bigint")).otherwise(F.lit(0))
+
+
 def _entity_table() -> Column:
     """Name to character for the HTML 4 names of the standard library, folded to a map literal."""
     pairs = ";".join(f"{name}={chr(code)}" for name, code in sorted(name2codepoint.items()))
@@ -136,9 +145,9 @@ def _decode_piece(piece: Column, names: Column) -> Column:
         char = (
             F.when(
                 body.rlike("^#[xX]"),
-                _char_of(F.conv(F.substring(body, 3, 12), 16, 10).cast("bigint")),
+                _char_of(_number(F.substring(body, 3, 2147483647), 6, 16)),
             )
-            .when(body.startswith("#"), _char_of(F.substring(body, 2, 12).cast("bigint")))
+            .when(body.startswith("#"), _char_of(_number(F.substring(body, 2, 2147483647), 7, 10)))
             .when(token != "", F.try_element_at(names, body))
         )
         rest = F.substr(piece, F.length(token) + 1)
@@ -147,7 +156,7 @@ def _decode_piece(piece: Column, names: Column) -> Column:
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
 
     token = F.regexp_extract(
-        piece, r"^(#[0-9]{1,8};?|#[xX][0-9A-Fa-f]{1,7};?|[A-Za-z][A-Za-z0-9]{1,10};)", 1
+        piece, r"^(#[0-9]++;?|#[xX][0-9A-Fa-f]++;?|[A-Za-z][A-Za-z0-9]{1,10};)", 1
     )
     return let(token, decoded)
 
@@ -176,13 +185,14 @@ def decode_entities(col: Column, in_attribute: bool = False, entities: str = "ba
         return _unescape_udf()(col)
     if entities != "basic":
         raise ValueError("entities must be 'basic' or 'html5'")
-    out = col
-    for name, char in COMMON_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-        if not in_attribute:
-            out = F.replace(out, F.lit(f"&{name}"), F.lit(char))
-    out = _decode_rare(out)
-    return replace_regex(out, "&amp;" if in_attribute else "&amp;?", "&")
+    def decoded(out: Column) -> Column:
+        for name, char in COMMON_ENTITIES.items():
+            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+            if not in_attribute:
+                out = F.replace(out, F.lit(f"&{name}"), F.lit(char))
+        return replace_regex(_decode_rare(out), "&amp;" if in_attribute else "&amp;?", "&")
+
+    return let(col, lambda text: F.when(F.contains(text, F.lit("&")), decoded(text)).otherwise(text))
 
 
 def decode_each(texts: Column, entities: str = "basic") -> Column:

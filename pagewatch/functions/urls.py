@@ -18,7 +18,7 @@ OTHER_SCHEME = r"^(?!(?i:https?):)[A-Za-z][A-Za-z0-9+.-]*:"
 HTTP_URL = (
     r"(?is)^(https?):[/\\]*([^/\\?#]*@)?"
     r"(\[[0-9a-f:.]+\]|[^\s/\\?#@:<>\[\]^|%\x00-\x20\x7f]+)"
-    r"(?::([0-9]{0,5}))?((?:[/\\][^?#]*)?)(\?[^#]*)?(#.*)?\z"
+    r"(?::0*([0-9]*))?((?:[/\\][^?#]*)?)(\?[^#]*)?(#.*)?\z"
 )
 DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"
 
@@ -39,8 +39,8 @@ def _part(cleaned: Column, group: int) -> Column:
 
 
 def _is_http(cleaned: Column) -> Column:
-    port = F.nullif(_part(cleaned, 4), F.lit(""))
-    port_fits = F.coalesce(F.try_to_number(port, F.lit("99999")) <= 65535, F.lit(True))
+    port = _part(cleaned, 4)  # without leading zeros
+    port_fits = (F.length(port) < 5) | ((F.length(port) == 5) & (port <= "65535"))
     return F.coalesce(cleaned.rlike(HTTP_URL) & port_fits, F.lit(False))
 
 
@@ -121,7 +121,8 @@ def normalize_url(url: Column) -> Column:
     """Canonical spelling of an absolute URL, null if it cannot be parsed."""
     def http_href(cleaned: Column) -> Column:
         scheme = F.lower(_part(cleaned, 1))
-        port = replace_regex(_part(cleaned, 4), "^0+(?=[0-9])")
+        given = F.regexp_extract(cleaned, r"(?is)^https?:[/\\]*(?:[^/\\?#]*@)?(?:\[[^\]]*\]|[^/\\?#:]+):([0-9]+)", 1)
+        port = F.when((_part(cleaned, 4) == "") & (given != ""), F.lit("0")).otherwise(_part(cleaned, 4))
         default = F.when(scheme == "http", F.lit("80")).otherwise(F.lit("443"))
         return F.concat(
             scheme,

@@ -1,8 +1,9 @@
 """Differences between two versions of a page.
 
 All differences of a pair are found inside its row, so after pairing there is
-no further shuffle. Texts are not needed to find changes, only their lengths
-and digests; `changed_texts` fetches the texts of the few pages that changed.
+no further shuffle. Visible texts are not needed to find changes, only their
+lengths; `changed_texts` fetches those of the few pages that changed, and
+`with_texts` puts them into the records.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def _first_heading(page: Column) -> Column:
     return F.coalesce(F.try_element_at(page["h1"], F.lit(1)), F.lit(""))
 
 
-def _robots_record(old: Column, new: Column, text: str) -> Column:
+def _robots_record(old: Column, new: Column) -> Column:
     percent = F.coalesce(
         percent_difference(old["text_length"], new["text_length"]), F.lit(100.0)
     )
@@ -61,17 +62,16 @@ def _robots_record(old: Column, new: Column, text: str) -> Column:
     )
     return F.when(
         ~old["text_digest"].eqNullSafe(new["text_digest"]),
-        _record(ROBOTS, message, percent, old[text], new[text]),
+        _record(ROBOTS, message, percent, old["robots_text"], new["robots_text"]),
     )
 
 
-def _content_record(old: Column, new: Column, text: str | None, threshold: float) -> Column:
+def _content_record(old: Column, new: Column, threshold: float) -> Column:
     percent = percent_difference(old["text_length"], new["text_length"])
     message = F.concat(
         one_decimal(percent), F.lit("% of visible content difference vs previous version")
     )
-    values = (None, None) if text is None else (old[text], new[text])
-    return F.when(percent > threshold, _record(CONTENT, message, percent, *values))
+    return F.when(percent > threshold, _record(CONTENT, message, percent))
 
 
 def _field_record(kind: str, old: Column, new: Column) -> Column:
@@ -100,16 +100,15 @@ def _nav_records(old: Column, new: Column, kinds: Sequence[str]) -> Column:
 
 def _changes(pairs: DataFrame, kinds: Sequence[str], threshold: float) -> Column:
     """Array of the changes of a pair, in report order."""
-    has_text = "text" in pairs.schema["new"].dataType.fieldNames()
-    return _change_array(tuple(kinds), threshold, has_text)
+    return _change_array(tuple(kinds), threshold)
 
 
 @build_once
-def _change_array(kinds: Sequence[str], threshold: float, has_text: bool) -> Column:
+def _change_array(kinds: Sequence[str], threshold: float) -> Column:
     old, new = F.col("old"), F.col("new")
     wide: list[Column] = []
     if CONTENT in kinds:
-        wide.append(_content_record(old, new, "text" if has_text else None, threshold))
+        wide.append(_content_record(old, new, threshold))
     if "title" in kinds:
         wide.append(_field_record("title", old["title"], new["title"]))
     if "canonical" in kinds:
@@ -123,21 +122,22 @@ def _change_array(kinds: Sequence[str], threshold: float, has_text: bool) -> Col
         page = F.concat(page, _nav_records(old, new, nav_kinds))
     robots = nothing
     if ROBOTS in kinds:
-        robots = F.array(_robots_record(old, new, "text" if has_text else "text_head"))
+        robots = F.array(_robots_record(old, new))
     found = F.when(old.isNull(), nothing).when(new["is_robots"], robots).otherwise(page)
     return F.filter(found, lambda c: c.isNotNull())
 
 
-def compare_versions(pairs: DataFrame, threshold: float = CONTENT_THRESHOLD) -> DataFrame:
+def compare_versions(
+    pairs: DataFrame, threshold: float = CONTENT_THRESHOLD, kinds: Sequence[str] = ALL_TYPES
+) -> DataFrame:
     """One row per pair: whether it is a first scrape, and its list of changes.
 
-    Values of a robots.txt change are the first 200 characters unless the
-    pairs carry the whole `text`; those of a content change are null then.
+    Values of a content change are null until `with_texts` fetches them.
     """
     return pairs.select(
         "url",
         F.col("old").isNull().alias("first_scrape"),
-        _changes(pairs, ALL_TYPES, threshold).alias("changes"),
+        _changes(pairs, kinds, threshold).alias("changes"),
         _version_of("old").alias("old_version"),
         _version_of("new").alias("new_version"),
     )
@@ -166,12 +166,16 @@ def _changes_of(pairs: DataFrame, kinds: Sequence[str], threshold: float) -> Dat
 
 
 def robots_changes(pairs: DataFrame) -> DataFrame:
+    """Whole old and new files; pairs of robots.txt versions alone are enough."""
     return _changes_of(pairs.filter("new.is_robots"), (ROBOTS,), CONTENT_THRESHOLD)
 
 
-def content_changes(pairs: DataFrame, threshold: float = CONTENT_THRESHOLD) -> DataFrame:
-    """Visible text grew or shrank by more than `threshold` percent."""
-    return _changes_of(pairs.filter("NOT new.is_robots"), (CONTENT,), threshold)
+def content_changes(
+    pairs: DataFrame, versions: DataFrame, threshold: float = CONTENT_THRESHOLD
+) -> DataFrame:
+    """Visible text grew or shrank by more than `threshold` percent; with both whole texts."""
+    both = pairs.filter("old IS NOT NULL AND NOT new.is_robots")
+    return change_rows(with_texts(compare_versions(both, threshold, (CONTENT,)), versions))
 
 
 def field_changes(pairs: DataFrame, kinds: Sequence[str] = FIELD_TYPES) -> DataFrame:
@@ -210,6 +214,21 @@ def changed_texts(
     )
 
 
+def with_texts(comparisons: DataFrame, versions: DataFrame) -> DataFrame:
+    """Comparisons whose content changes have both whole texts as their values."""
+    texts = changed_texts(comparisons, versions)
+
+    def filled(change: Column) -> Column:
+        values = {"old_value": F.col("old_text"), "new_value": F.col("new_text")}
+        whole = F.struct(
+            *[values.get(c, change[c]).alias(c) for c in ("type", "message", "percent_diff", "old_value", "new_value", "links")]
+        ).cast(CHANGE_TYPE)
+        return F.when(change["type"] == CONTENT, whole).otherwise(change)
+
+    joined = comparisons.join(texts, "url", "left")
+    return joined.withColumn("changes", F.transform("changes", filled)).select(comparisons.columns)
+
+
 def major_changes(comparisons: DataFrame, versions: DataFrame) -> DataFrame:
     """Pages whose visible content changed, with both texts; empty when there are none."""
     return changed_texts(comparisons, versions, CONTENT)

@@ -12,8 +12,6 @@ from pagewatch.functions.text import utf16_length, ws_trim
 from pagewatch.functions.times import snapshot_date
 from pagewatch.operators.fetches import is_robots
 
-TEXT_HEAD_LENGTH = 200
-
 
 @build_once
 def _parsed_columns(
@@ -50,7 +48,7 @@ def _judged_columns(backfill: bool) -> dict[str, Column]:
         "multiple_h1s": M.multiple_h1s(F.col("h1")),
         "text_length": utf16_length(text),
         "text_digest": F.when(F.col("is_robots"), F.sha2(text, 256)),
-        "text_head": F.when(F.col("is_robots"), F.substring(text, 1, TEXT_HEAD_LENGTH)),
+        "robots_text": F.when(F.col("is_robots"), text),
     }
 
 

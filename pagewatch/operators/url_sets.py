@@ -17,5 +17,5 @@ def merge_urls(listed: DataFrame, from_sitemaps: DataFrame) -> DataFrame:
 
 
 def sample_urls(urls: DataFrame, k: int = 25, seed: int = 0) -> DataFrame:
-    """`k` URLs at random; the same seed picks the same ones."""
-    return urls.orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(k)
+    """`k` URLs at random; the same seed picks the same ones, in any engine that has MD5."""
+    return urls.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("url"))), "url").limit(k)

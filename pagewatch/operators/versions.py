@@ -54,7 +54,7 @@ def version_pairs(
     )
     if run_urls is None:
         return pairs
-    return pairs.join(run_urls.select(key), key, "left_semi")
+    return pairs.join(run_urls.select(key).distinct(), key, "left_semi")
 
 
 def first_scrapes(pairs: DataFrame) -> DataFrame:

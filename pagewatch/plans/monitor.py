@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.functions.navigation import DEFAULT_NAV_RULES, NavRules
 from pagewatch.operators.audit import audit_pages, issue_rows
-from pagewatch.operators.changes import change_rows, compare_versions, major_changes
+from pagewatch.operators.changes import change_rows, compare_versions, major_changes, with_texts
 from pagewatch.operators.extraction import extract_page_fields
 from pagewatch.operators.fetches import resolve_fetches, split_results
 from pagewatch.operators.report import (
@@ -28,8 +28,8 @@ from pagewatch.sources.store import append_versions, read_versions
 def compare_run(
     versions: DataFrame, run_urls: DataFrame | None = None, fields: Sequence[str] | None = None
 ) -> DataFrame:
-    """Compare the newest two versions of every URL of a run."""
-    return compare_versions(version_pairs(versions, run_urls, fields))
+    """Compare the newest two versions of every URL of a run; the values of changes are whole."""
+    return with_texts(compare_versions(version_pairs(versions, run_urls, fields)), versions)
 
 
 @dataclass(frozen=True)

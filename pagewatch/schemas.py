@@ -12,7 +12,7 @@ FETCH_ATTEMPTS = "url string, attempt int, status_code int, content string, erro
 FETCH_RESULTS = "url string, ok boolean, status_code int, html string, error string"
 SAVED_PAGES = "file_name string, html string"
 
-# Everything the audit and the comparison need, without the two wide text columns.
+# Everything the audit and the comparison need, without html and visible text; only robots files are whole.
 FIELD_COLUMNS = (
     "title",
     "has_title",
@@ -26,7 +26,7 @@ FIELD_COLUMNS = (
     "is_robots",
     "text_length",
     "text_digest",
-    "text_head",
+    "robots_text",
     "nav",
 )
 VERSION_KEYS = ("url", "ts_key", "id")
@@ -35,7 +35,7 @@ PAGE_VERSIONS = (
     " title string, has_title boolean, canonical string, is_canonical_self_ref boolean,"
     " meta_description string, has_meta_description boolean, h1 array<string>, has_h1 boolean,"
     " multiple_h1s boolean, is_robots boolean, text string, text_length int,"
-    f" text_digest string, text_head string, nav {LINKS}"
+    f" text_digest string, robots_text string, nav {LINKS}"
 )
 CHANGE_TYPE = (
     "struct<type:string,message:string,percent_diff:double,old_value:string,"

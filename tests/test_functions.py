@@ -45,6 +45,17 @@ def test_invalid_code_points_become_replacement_characters(spark):
     assert values(spark, ["&#0;&#xD800;&#99999999;"], T.decode_entities) == ["�" * 3]
 
 
+def test_references_have_any_number_of_digits(spark):
+    texts = ["&#0000000065;&#x00000041;", "&#" + "0" * 40 + "66;", "&#x" + "0" * 40 + "43", "&#" + "9" * 40 + ";", "&#00;"]
+    assert values(spark, texts, T.decode_entities) == ["AA", "B", "C", "�", "�"]
+
+
+def test_ports_have_any_number_of_digits(spark):
+    urls = ["http://h:000080/", "http://h:0000008080/", "http://h:65535/", "http://h:65536/", "http://h:123456/", "http://h:000/", "http://h:/"]
+    expected = ["http://h/", "http://h:8080/", "http://h:65535/", None, None, "http://h:0/", "http://h/"]
+    assert values(spark, urls, U.normalize_url) == expected
+
+
 def test_one_decimal_rounds_the_binary_value_and_ties_up(spark):
     numbers = [1.45, 20.25, 20.75, 0.05, 25.0, 12345678.9, 100.0 / 3]
     expected = ["1.4", "20.3", "20.8", "0.1", "25.0", "12345678.9", "33.3"]

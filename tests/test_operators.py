@@ -253,6 +253,18 @@ def test_robots_changes_compare_trimmed_text_only(spark):
     assert [r.type for r in changes(spark, "abcd", "dcba", url)] == ["robotstxt"]
 
 
+def test_changes_carry_whole_texts(spark):
+    url = "https://x.com/robots.txt"
+    assert [(r.old_value, r.new_value) for r in changes(spark, "a" * 900, "b" * 1000, url)] == [("a" * 900, "b" * 1000)]
+    rows = versions(
+        spark,
+        ("https://x.com/a", "20240101000000", page("short " * 90, h1="")),
+        ("https://x.com/a", "20240102000000", page("longer " * 900, h1="")),
+    )
+    found = C.change_rows(compare_run(rows)).filter("type = 'content'").collect()
+    assert [(r.old_value, r.new_value) for r in found] == [(("short " * 90).strip(), ("longer " * 900).strip())]
+
+
 def test_change_order_and_symmetry(spark):
     old_nav = '<nav><a href="/gone">G</a><a href="/same">A</a></nav>'
     new_nav = '<nav><a href="/same">B</a><a href="/new">N</a></nav>'
