@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,15 @@ class TokenIds:
 
     The byte-level splitting starts a new token at a single space or line feed between two other characters, and a space
     belongs to the word behind it. So the words of a text are encoded once each, many in one call, and remembered. Texts
-    with white space side by side or at an end, or with the mark of a special token, are encoded whole.
+    with white space side by side or at an end, or with the mark of a special token, are encoded whole. What is remembered is
+    forgotten beyond `most` words or `most_characters` in them.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000, most_characters: int = 20_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.most_characters = Tokenizer.from_file(path), most, most_characters
+        self.characters = 0
         self.line_feed = self.encoded("\n")
         self.heads: dict[str, bytes | None] = {}
         self.spaced: dict[str, bytes | None] = {}
@@ -72,13 +75,17 @@ class TokenIds:
         for k in range(0, len(texts), 256):
             part = texts[k : k + 256]
             cut = [[line.split(" ") for line in t.split("\n")] for t in part]
+            if len(self.heads) + len(self.spaced) > self.most or self.characters > self.most_characters:
+                self.heads.clear()
+                self.spaced.clear()
+                self.characters = 0
             for known, words, before in (
                 (self.heads, {line[0] for lines in cut for line in lines}, ""),
                 (self.spaced, set().union(*(line[1:] for lines in cut for line in lines)), " "),
             ):
-                if len(known) > self.most:
-                    known.clear()
-                self.learn([w for w in words if w not in known], before, known)
+                new = [w for w in words if w not in known]
+                self.characters += sum(map(len, new))
+                self.learn(new, before, known)
             for text, lines in zip(part, cut):
                 try:
                     yield self.line_feed.join([self.heads[line[0]] + b"".join(map(self.spaced.__getitem__, line[1:])) for line in lines])
@@ -86,6 +93,12 @@ class TokenIds:
                     yield self.encoded(text)
 
 
+@lru_cache(maxsize=1)
+def remembered_ids(path: str) -> TokenIds:
+    """One for all tasks of a worker process, so that a word is encoded once there and not once a task."""
+    return TokenIds(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of each row of `docs`: the first one may be shorter, all others have `capacity` tokens."""
 
@@ -95,7 +108,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
             import public_tokenizers
 
             file = public_tokenizers.path(TOKENIZER)
-        token_ids = TokenIds(file)
+        token_ids = remembered_ids(file)
         end = np.asarray([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
         for batch in batches:
