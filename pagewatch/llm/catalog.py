@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from corpus_pipeline import run as pipeline
+from pagewatch.llm.alignment import op13_tokenizer_alignment
+from pagewatch.llm.chat import op12_chat_formatting, op12_sql
+from pagewatch.llm.divergence import op11_source_divergence, op11_sql
 from pagewatch.llm.fingerprints import op5_fingerprints
 from pagewatch.llm.languages import op2_language_id
 from pagewatch.llm.licences import op3_licence_scans
@@ -25,6 +28,9 @@ OPERATORS = (
     op8_ngram_jaccard_join,
     op9_substring_dedup,
     op10_best_fit_packing,
+    op11_source_divergence,
+    op12_chat_formatting,
+    op13_tokenizer_alignment,
 )
 LLM_QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": pipeline}
-LLM_ORACLES = {"op4_exact_top_k": op4_sql(), "op7_sharding": op7_sql()}
+LLM_ORACLES = {"op4_exact_top_k": op4_sql(), "op7_sharding": op7_sql(), "op11_source_divergence": op11_sql(), "op12_chat_formatting": op12_sql()}

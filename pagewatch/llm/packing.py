@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,99 +21,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewatch.llm.common import checkpointed, table
+from pagewatch.llm.token_ids import BYTE_LEVEL, public_path, token_ids
 
 CAPACITY = 1024
 END_ID = 2
-TOKENIZER = "byte_bpe_50k.json"
 PIECES = "doc_id long, row long, piece int, start long, length int, ids_crc32 long"
-#: A piece's number within its length is counted in so many parts, so that no length is numbered in one task.
-PARTS = 512
-
-
-class TokenIds:
-    """Ids of texts as little-endian unsigned 32-bit integers.
-
-    The byte-level splitting starts a new token at a single space or line feed between two other characters, and a space
-    belongs to the word behind it. So the words of a text are encoded once each, many in one call, and remembered. Texts
-    with white space side by side or at an end, or with the mark of a special token, are encoded whole. What is remembered is
-    forgotten beyond `most` words or `most_characters` in them.
-    """
-
-    def __init__(self, path: str, most: int = 500_000, most_characters: int = 20_000_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most, self.most_characters = Tokenizer.from_file(path), most, most_characters
-        self.characters = 0
-        self.line_feed = self.encoded("\n")
-        self.heads: dict[str, bytes | None] = {}
-        self.spaced: dict[str, bytes | None] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def encoded(self, text: str) -> bytes:
-        return self.ids(text).tobytes()
-
-    def learn(self, words: list[str], before: str, known: dict[str, bytes | None]) -> None:
-        """Encodes words as lines of one text and cuts its ids at the line feeds; None marks words whose text is to be encoded whole."""
-        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace() or "<|" in w]
-        known.update(dict.fromkeys(odd))
-        words = [w for w in words if w not in known] if odd else words
-        feed = np.frombuffer(self.line_feed, "<u4")[0]
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            ids = self.ids("\n".join([before + w for w in part]))
-            cuts = np.flatnonzero(ids == feed).tolist()
-            if len(cuts) != len(part) - 1:
-                known.update((w, self.encoded(before + w)) for w in part)
-                continue
-            data = ids.tobytes()
-            known.update((w, data[4 * a + 4 : 4 * b]) for w, a, b in zip(part, [-1, *cuts], [*cuts, len(ids)]))
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        for k in range(0, len(texts), 256):
-            part = texts[k : k + 256]
-            cut = [[line.split(" ") for line in t.split("\n")] for t in part]
-            if len(self.heads) + len(self.spaced) > self.most or self.characters > self.most_characters:
-                self.heads.clear()
-                self.spaced.clear()
-                self.characters = 0
-            for known, words, before in (
-                (self.heads, {line[0] for lines in cut for line in lines}, ""),
-                (self.spaced, set().union(*(line[1:] for lines in cut for line in lines)), " "),
-            ):
-                new = [w for w in words if w not in known]
-                self.characters += sum(map(len, new))
-                self.learn(new, before, known)
-            for text, lines in zip(part, cut):
-                try:
-                    yield self.line_feed.join([self.heads[line[0]] + b"".join(map(self.spaced.__getitem__, line[1:])) for line in lines])
-                except TypeError:  # a word marked None
-                    yield self.encoded(text)
-
-
-@lru_cache(maxsize=1)
-def remembered_ids(path: str) -> TokenIds:
-    """One for all tasks of a worker process, so that a word is encoded once there and not once a task."""
-    return TokenIds(path)
+#: A piece's number within its length is counted in parts of about so many pieces, so that no length is numbered in one task.
+PART = 20_000
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of each row of `docs`: the first one may be shorter, all others have `capacity` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = path
-        if file is None:
-            import public_tokenizers
-
-            file = public_tokenizers.path(TOKENIZER)
-        token_ids = remembered_ids(file)
+        known = token_ids(public_path(path, BYTE_LEVEL))
         end = np.asarray([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
         for batch in batches:
             out: list[tuple] = []
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), token_ids.of(texts)):
+            for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known.of(texts)):
                 ids += end
                 n = len(ids) // 4
                 ends = range((n - 1) % capacity + 1, n + 1, capacity)
@@ -187,7 +113,9 @@ def places(found: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int,
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`cut` (doc_id, row, piece, start, length, ids_crc32) with sequence_id and offset."""
     spark = cut.sparkSession
-    cut = checkpointed(cut.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(PARTS)).cast("int")))
+    cut = checkpointed(cut)
+    parts = 64 + cut.count() // PART
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(parts)).cast("int"))
     counted = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     layout = spark.createDataFrame(places(combinations(histogram, capacity)), "at_length int, first long, times long, sequence long, offset long")
