@@ -25,11 +25,12 @@ from pagewatch.operators import report as R
 from pagewatch.operators import url_sets as US
 from pagewatch.operators import versions as V
 from pagewatch.operators.extraction import extract_page_fields
-from pagewatch.plans.monitor import backfill_run, compare_run
+from pagewatch.plans.monitor import backfill_run, compare_run, remove_latest_run
 from pagewatch.sources.saved_pages import saved_snapshots
 from pagewatch.sources.sitemaps import sitemap_urls
-from pagewatch.sources.store import append_versions, read_versions
+from pagewatch.sources.store import append_versions, expire_versions, read_versions
 from pagewatch.sources.url_lists import limit_urls, url_list_lines
+from pagewatch.streaming.changes import read_snapshots, read_stored, store_snapshots, stream_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 NAV_RULES = [("no-such-host.example", ".menu"), ("", "nav")]
@@ -171,6 +172,43 @@ def stored_by_date(spark, sf_dir):
     )
 
 
+def _snapshots_by_hour(spark, sf_dir):
+    """Versions whose times are spread over the hours of their day."""
+    hour = F.lpad((F.col("i") % 24).cast("string"), 2, "0")
+    ts_key = F.concat(F.substring("ts_key", 1, 8), hour, F.lit("0000"))
+    rows = D.PAGE_VERSIONS.spark(spark, sf_dir).withColumn("ts_key", ts_key)
+    return rows.select("id", "v", "url", "ts_key", "html", TM.snapshot_date(F.col("ts_key")).alias("snapshot_date"))
+
+
+def store_after_deletions(spark, sf_dir):
+    """Two days appended, the older half of the first day expired, the newest versions removed."""
+    home = shared_folder(spark)
+    rows = _snapshots_by_hour(spark, sf_dir)
+    for day in (1, 2):
+        append_versions(rows.filter(F.col("v") == day).drop("v"), f"{home}/versions")
+    expire_versions(spark, f"{home}/versions", "20240101120000")
+    remove_latest_run(spark, home, REMOVED, "newest")
+    return read_versions(spark, f"{home}/versions").select("id", "url", "ts_key", F.md5("html").alias("html_md5"))
+
+
+def stream_comparisons(spark, sf_dir):
+    """First versions, second ones, and a third of the first ones again, each as new files of one stream."""
+    home = shared_folder(spark)
+    rows = D.PAGE_VERSIONS.spark(spark, sf_dir)
+    again = rows.filter("v = 1 AND i % 3 = 0")
+    for arrived in (rows.filter("v = 1"), rows.filter("v = 2"), again):
+        arrived.select("url", "ts_key", "status_code", "html").write.mode("append").parquet(f"{home}/in")
+        store_snapshots(read_snapshots(spark, f"{home}/in"), f"{home}/versions", f"{home}/c1", NAV_RULES).awaitTermination()
+        stream_changes(read_stored(spark, f"{home}/versions"), f"{home}/out", f"{home}/c2").awaitTermination()
+    return spark.read.parquet(f"{home}/out").select(
+        "url",
+        F.col("new_version.ts_key").alias("ts_key"),
+        "late",
+        (F.col("first_scrape") & ~F.col("late")).alias("first_scrape"),
+        F.array_join(F.transform("changes", lambda c: c["type"]), ",").alias("changes"),
+    )
+
+
 def retained_versions(spark, sf_dir):
     rows = D.PAGE_VERSIONS.spark(spark, sf_dir).withColumn(
         "snapshot_date", TM.snapshot_date(F.col("ts_key"))
@@ -392,7 +430,8 @@ def robots_changes(spark, sf_dir):
 
 
 def content_changes(spark, sf_dir):
-    return _flat_changes(C.content_changes(pairs(spark, sf_dir), versions(spark, sf_dir)))
+    found = V.version_pairs(versions(spark, sf_dir), None, [*V.PAIR_FIELDS, "text"])
+    return _flat_changes(C.content_changes(found))
 
 
 def _field_changes(kind: str) -> Query:
@@ -408,8 +447,7 @@ def all_changes(spark, sf_dir):
 
 
 def run_comparisons(spark, sf_dir):
-    found = C.compare_versions(V.version_pairs(versions(spark, sf_dir), run_urls(spark, sf_dir)))
-    return found.select(
+    return compare_run(versions(spark, sf_dir), run_urls(spark, sf_dir)).select(
         "url",
         "first_scrape",
         F.array_join(F.transform("changes", lambda c: c["type"]), ",").alias("changes"),
@@ -417,8 +455,7 @@ def run_comparisons(spark, sf_dir):
 
 
 def major(spark, sf_dir):
-    rows = versions(spark, sf_dir)
-    return C.major_changes(compare_run(rows), rows)
+    return C.major_changes(compare_run(versions(spark, sf_dir)))
 
 
 def major_changes(spark, sf_dir):
@@ -574,6 +611,8 @@ QUERIES: dict[str, Query] = {
     "saved_files": saved_files,
     "backfilled_pages": backfilled_pages,
     "stored_by_date": stored_by_date,
+    "store_after_deletions": store_after_deletions,
+    "stream_comparisons": stream_comparisons,
     "retained_versions": retained_versions,
     "retained_events": retained_events,
     "remaining_versions": remaining_versions,

@@ -2,8 +2,7 @@
 
 All differences of a pair are found inside its row, so after pairing there is
 no further shuffle. Visible texts are not needed to find changes, only their
-lengths; `changed_texts` fetches those of the few pages that changed, and
-`with_texts` puts them into the records.
+lengths; pairs that carry `text` give it as the values of a content change.
 """
 
 from __future__ import annotations
@@ -66,12 +65,13 @@ def _robots_record(old: Column, new: Column) -> Column:
     )
 
 
-def _content_record(old: Column, new: Column, threshold: float) -> Column:
+def _content_record(old: Column, new: Column, threshold: float, with_texts: bool) -> Column:
     percent = percent_difference(old["text_length"], new["text_length"])
     message = F.concat(
         one_decimal(percent), F.lit("% of visible content difference vs previous version")
     )
-    return F.when(percent > threshold, _record(CONTENT, message, percent))
+    texts = (old["text"], new["text"]) if with_texts else (None, None)
+    return F.when(percent > threshold, _record(CONTENT, message, percent, *texts))
 
 
 def _field_record(kind: str, old: Column, new: Column) -> Column:
@@ -100,15 +100,15 @@ def _nav_records(old: Column, new: Column, kinds: Sequence[str]) -> Column:
 
 def _changes(pairs: DataFrame, kinds: Sequence[str], threshold: float) -> Column:
     """Array of the changes of a pair, in report order."""
-    return _change_array(tuple(kinds), threshold)
+    return _change_array(tuple(kinds), threshold, "text" in pairs.schema["new"].dataType.names)
 
 
 @build_once
-def _change_array(kinds: Sequence[str], threshold: float) -> Column:
+def _change_array(kinds: Sequence[str], threshold: float, with_texts: bool) -> Column:
     old, new = F.col("old"), F.col("new")
     wide: list[Column] = []
     if CONTENT in kinds:
-        wide.append(_content_record(old, new, threshold))
+        wide.append(_content_record(old, new, threshold, with_texts))
     if "title" in kinds:
         wide.append(_field_record("title", old["title"], new["title"]))
     if "canonical" in kinds:
@@ -128,14 +128,18 @@ def _change_array(kinds: Sequence[str], threshold: float) -> Column:
 
 
 def compare_versions(
-    pairs: DataFrame, threshold: float = CONTENT_THRESHOLD, kinds: Sequence[str] = ALL_TYPES
+    pairs: DataFrame,
+    threshold: float = CONTENT_THRESHOLD,
+    kinds: Sequence[str] = ALL_TYPES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per pair: whether it is a first scrape, and its list of changes.
+    """One row per pair: whether it is a first scrape, and its list of changes; with the columns `keep` of the pair.
 
-    Values of a content change are null until `with_texts` fetches them.
+    Values of a content change are whole texts if the pairs carry `text`, else null.
     """
     return pairs.select(
         "url",
+        *keep,
         F.col("old").isNull().alias("first_scrape"),
         _changes(pairs, kinds, threshold).alias("changes"),
         _version_of("old").alias("old_version"),
@@ -170,12 +174,9 @@ def robots_changes(pairs: DataFrame) -> DataFrame:
     return _changes_of(pairs.filter("new.is_robots"), (ROBOTS,), CONTENT_THRESHOLD)
 
 
-def content_changes(
-    pairs: DataFrame, versions: DataFrame, threshold: float = CONTENT_THRESHOLD
-) -> DataFrame:
-    """Visible text grew or shrank by more than `threshold` percent; with both whole texts."""
-    both = pairs.filter("old IS NOT NULL AND NOT new.is_robots")
-    return change_rows(with_texts(compare_versions(both, threshold, (CONTENT,)), versions))
+def content_changes(pairs: DataFrame, threshold: float = CONTENT_THRESHOLD) -> DataFrame:
+    """Visible text grew or shrank by more than `threshold` percent; with both texts if the pairs carry them."""
+    return _changes_of(pairs.filter("NOT new.is_robots"), (CONTENT,), threshold)
 
 
 def field_changes(pairs: DataFrame, kinds: Sequence[str] = FIELD_TYPES) -> DataFrame:
@@ -188,50 +189,10 @@ def nav_changes(pairs: DataFrame, kinds: Sequence[str] = NAV_TYPES) -> DataFrame
     return _changes_of(pairs.filter("NOT new.is_robots"), kinds, CONTENT_THRESHOLD)
 
 
-def changed_texts(
-    comparisons: DataFrame, versions: DataFrame, kind: str = CONTENT
-) -> DataFrame:
-    """Old and new text of the pages that have a change of one kind.
-
-    Both sides of a page are asked for in one pass over the versions. The join
-    includes the date, so that only partitions with a wanted version are read;
-    Spark broadcasts the keys if they turn out small.
-    """
-    hit = comparisons.filter(F.exists("changes", lambda c: c["type"] == kind))
-    sides = [
-        F.struct(
-            F.lit(side).alias("side"),
-            *[F.col(f"{side}_version.{k}").alias(k) for k in ("snapshot_date", "ts_key", "id")],
-        )
-        for side in ("old", "new")
-    ]
-    keys = unfold(hit, ["url"], F.array(*sides), "side")
-    texts = versions.select("url", "snapshot_date", "ts_key", "id", "text")
-    found = texts.join(keys, ["url", "snapshot_date", "ts_key", "id"])
-    return found.groupBy("url").agg(
-        F.max(F.when(F.col("side") == "old", F.col("text"))).alias("old_text"),
-        F.max(F.when(F.col("side") == "new", F.col("text"))).alias("new_text"),
-    )
-
-
-def with_texts(comparisons: DataFrame, versions: DataFrame) -> DataFrame:
-    """Comparisons whose content changes have both whole texts as their values."""
-    texts = changed_texts(comparisons, versions)
-
-    def filled(change: Column) -> Column:
-        values = {"old_value": F.col("old_text"), "new_value": F.col("new_text")}
-        whole = F.struct(
-            *[values.get(c, change[c]).alias(c) for c in ("type", "message", "percent_diff", "old_value", "new_value", "links")]
-        ).cast(CHANGE_TYPE)
-        return F.when(change["type"] == CONTENT, whole).otherwise(change)
-
-    joined = comparisons.join(texts, "url", "left")
-    return joined.withColumn("changes", F.transform("changes", filled)).select(comparisons.columns)
-
-
-def major_changes(comparisons: DataFrame, versions: DataFrame) -> DataFrame:
+def major_changes(comparisons: DataFrame) -> DataFrame:
     """Pages whose visible content changed, with both texts; empty when there are none."""
-    return changed_texts(comparisons, versions, CONTENT)
+    found = change_rows(comparisons).filter(F.col("type") == CONTENT)
+    return found.select("url", F.col("old_value").alias("old_text"), F.col("new_value").alias("new_text"))
 
 
 def line_diff(texts: DataFrame) -> DataFrame:

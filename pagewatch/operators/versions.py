@@ -13,6 +13,7 @@ from pagewatch.schemas import FIELD_COLUMNS
 from pagewatch.sources.url_lists import parse_limit
 
 ORDER = ("ts_key", "id")
+PAIR_FIELDS = (*ORDER, "snapshot_date", *FIELD_COLUMNS)
 
 
 def latest_versions(
@@ -42,7 +43,7 @@ def version_pairs(
     step, and the URLs of the run are joined after it, on two rows per key.
     """
     if fields is None:
-        fields = [c for c in (*ORDER, "snapshot_date", *FIELD_COLUMNS) if c in versions.columns]
+        fields = [c for c in PAIR_FIELDS if c in versions.columns]
     columns = list(dict.fromkeys([*order, *fields]))
     newest_first = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
     record = F.struct(*columns)

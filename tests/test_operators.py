@@ -14,6 +14,7 @@ from pagewatch.operators.extraction import extract_page_fields
 from pagewatch.plans.monitor import backfill_run, compare_run
 from pagewatch.schemas import FETCH_ATTEMPTS
 from pagewatch.sources.sitemaps import sitemap_urls
+from pagewatch.sources.store import append_to_table
 from pagewatch.sources.url_lists import limit_urls, read_url_list, url_list_lines
 
 RAW = "id bigint, url string, ts_key string, status_code int, html string"
@@ -290,11 +291,27 @@ def test_major_changes_fetch_both_texts(spark):
     )
     comparisons = compare_run(rows)
     assert [r.url for r in C.changed_only(comparisons).collect()] == ["https://x.com/a"]
-    major = C.major_changes(comparisons, rows)
+    major = C.major_changes(comparisons)
     assert major.collect() == [Row(url="https://x.com/a", old_text="short", new_text="much longer text")]
     diff = [(r.part, r.value) for r in C.line_diff(major).collect()]
     assert diff == [("removed", "short"), ("added", "much longer text")]
-    assert C.changed_texts(comparisons, rows, C.ROBOTS).count() == 0
+    assert C.major_changes(compare_run(rows.filter("url <> 'https://x.com/a'"))).count() == 0
+
+
+def physical(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_comparison_reads_pages_once_and_needs_no_shuffle_on_a_bucketed_store(spark, tmp_path):
+    rows = versions(spark, *[(f"https://x.com/{k}", f"2024010{d}000000", page("word " * k * d)) for k in range(20) for d in (1, 2)])
+    rows.write.parquet(str(tmp_path / "plain"))
+    once = physical(C.change_rows(compare_run(spark.read.parquet(str(tmp_path / "plain")))))
+    assert once.count("FileScan") == 1 and once.count("Exchange") == 1
+    append_to_table(rows.filter("ts_key < '20240102'"), "bucketed_pages", buckets=4)
+    append_to_table(rows.filter("ts_key >= '20240102'"), "bucketed_pages", buckets=4)
+    stored = compare_run(spark.table("bucketed_pages"))
+    assert "Exchange" not in physical(C.major_changes(stored))
+    assert sorted(C.major_changes(stored).collect()) == sorted(C.major_changes(compare_run(rows)).collect()) != []
 
 
 def test_multiline_diff_matches_repeats(spark):
