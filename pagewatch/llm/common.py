@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes that separate words of letters and digits become spaces, A-Z become a-z; every byte of a non-ASCII character stays.
 WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -20,6 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_fields(columns: str, *fields: StructField) -> StructType:
+    """`columns` as "name type, ...", then the fields, whose names may hold anything."""
+    out = StructType()
+    for column in columns.split(", "):
+        out.add(*column.split(" "))
+    return StructType([*out.fields, *fields])
+
+
+def as_type(frame: DataFrame, name: str, kind: str):
+    """The column, cast only where it has another type, so that two uses of it have one plan and can share an exchange."""
+    return F.col(name) if dict(frame.dtypes)[name] == kind else F.col(name).cast(kind).alias(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Only where it is unset, as in tests, one is made."""
     context = spark.sparkContext

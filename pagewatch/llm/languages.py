@@ -13,7 +13,6 @@ give repeated rows; an empty table gives none; rows with a null id are predicted
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import Counter
@@ -21,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import held_out, letters_and_digits, table
+from pagewatch.llm.common import held_out, letters_and_digits, quoted, table, with_fields
 
 TRAIN_DOCS = 150
 #: Words of a piece of one language, and pieces of a training sequence.
@@ -36,9 +36,11 @@ DECAY = 1e-4
 LEXICON_LEAST = 3
 SEED = 11
 #: Words that are handled at once, and words whose potentials are remembered.
-TOGETHER = 1_000_000
+TOGETHER = 100_000
 REMEMBERED = 500_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Rows of a batch that are handed on at once.
+ROWS = 500
+LETTER = regex.compile(r"\p{L}")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -214,22 +216,26 @@ def training_rows(docs: DataFrame, most: int = TRAIN_DOCS) -> list:
     return sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))
 
 
-def identify(docs: DataFrame, most: int = TRAIN_DOCS, carried: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row of `docs` (doc_id, text, lang), and with `carried` its columns as a struct of that name."""
+def identify(docs: DataFrame, most: int = TRAIN_DOCS, carried: bool = False, least: float | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each row of `docs` (doc_id, text, lang), and with `carried` its text and its other
+    columns as a struct of that name. With `least` only rows with a language of at least that score."""
     rows = training_rows(docs, most)
     model = train([r["text"] for r in rows], [r["lang"] for r in rows])
+    names = ["doc_id", "held_out", "lang_pred", "score", *["text", "carried"] * carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = model.predict(batch.column(2).to_pylist())
-            columns = list(zip(*found)) or [(), ()]
-            more = [batch.column(3)] if carried else []
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), *more], ["doc_id", "held_out", "lang_pred", "score", *["carried"] * carried])
-
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] * carried
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), F.col("text").cast("string").alias("text"), *whole)
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + (f", carried {asked.schema['carried'].dataType.simpleString()}" if carried else "")
-    return asked.mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                langs, scores = zip(*model.predict(part.column(2).to_pylist()))
+                more = part.columns[2:4] if carried else []
+                out = pa.record_batch([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names)
+                yield out if least is None else out.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)]))
+
+    others = [F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("carried")] * carried
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), F.col("text").cast("string").alias("text"), *others)
+    schema = "doc_id long, held_out boolean, lang_pred string, score double"
+    return asked.mapInArrow(run, with_fields(schema, *asked.schema.fields[2:]) if carried else schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
