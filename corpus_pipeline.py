@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import shared_dir, table
+from pagewatch.llm.common import quoted, shared_dir, table
 from pagewatch.llm.languages import identify
 from pagewatch.llm.mixing import mix
 from pagewatch.llm.near_duplicates import join_near
@@ -25,7 +25,7 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Whole rows as `d`, with their id and a hash of their text, which tell apart all rows but copies with one id."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+    whole = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("d")
     return docs.select(whole, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
 
 
@@ -38,7 +38,7 @@ def _columns(docs: DataFrame, struct: str, changed: Column, text: Column) -> lis
     """The columns of `docs` from a struct, where `changed` with another text and its length."""
     out = []
     for field in docs.schema:
-        own = F.col(f"{struct}.`{field.name}`")
+        own = F.col(f"{struct}.{quoted(field.name)}")
         new = {"text": text, "n_chars": F.char_length(text)}.get(field.name)
         out.append((own if new is None else F.when(changed, new.cast(field.dataType)).otherwise(own)).alias(field.name))
     return out
@@ -46,8 +46,9 @@ def _columns(docs: DataFrame, struct: str, changed: Column, text: Column) -> lis
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null texts, texts without a letter, and those with no language of at least the least score."""
-    found = identify(docs, carried=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("carried.*")
+    found = identify(docs, carried=True, least=LEAST_LANGUAGE_SCORE)
+    text = F.col("text").cast(docs.schema["text"].dataType).alias("text")
+    return found.select([text if c == "text" else F.col(f"carried.{quoted(c)}") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
