@@ -74,7 +74,7 @@ class TokenIds:
     `plain`: strings of special tokens inside texts are ordinary text. Else a text that holds one is encoded whole.
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = 400_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,8 +82,8 @@ class TokenIds:
         self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.characters = characters_of_bytes()
-        self.pieces = Generations(self._merged, most)
-        self.heads = Generations(self.cut, most // 4)
+        self.pieces = Generations(self._merged, most // 2 + 1)
+        self.heads = Generations(self.cut, most // 8 + 1)
         self.spaced = Generations(lambda word: self.cut(" " + word), most)
         self.line_feed = self.encoded("\n")
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from checks.compare import _rows, duck
-from pagewatch.llm.alignment import Aligner, pieces_of, score
+from pagewatch.llm.alignment import Aligner, score
 from pagewatch.llm.chat import escaped, format_conversations, formatted, parsed, read_back, unescaped
 from pagewatch.llm.divergence import audit
 from pagewatch.llm.token_ids import TokenIds
@@ -206,19 +206,20 @@ class Plain:
         return out
 
 
-def test_pieces_align_like_whole_texts():
-    plain, aligner = Plain(), Aligner(BYTES, PIECES)
+@pytest.mark.parametrize("most", [10**6, 50])
+def test_pieces_align_like_whole_texts(most):
+    plain, aligner = Plain(), Aligner(BYTES, PIECES, most)
     texts = [t for t in odd_texts(1500, 11) if t] + ["日本語 テキスト 😀😀 naïve café", "a " * 300, "x" * 3000, "a ", " "]
-    aligner.learn([pieces_of(t) for t in texts])
-    for text in texts:
-        groups, found = plain.groups(text), aligner.of(pieces_of(text))
+    aligned = [x for k in range(0, len(texts), 100) for x in aligner.of(texts[k : k + 100])]
+    for text, found in zip(texts, aligned):
+        groups = plain.groups(text)
         if groups is None:
             assert found is None, repr(text)
             continue
-        n_a, n_b, n, shown, links = found
-        assert (n_a, n_b, n) == (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups)), repr(text)
+        counts, shown, links, times = found
+        assert counts == [sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(times)], repr(text)
         assert shown == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
-        assert Counter((int(x) >> 16, int(x) & 65535) for x in links) == Counter((x, y) for a, b in groups for x in a for y in b)
+        assert {(int(x) >> 16, int(x) & 65535): n for x, n in zip(links, times)} == Counter((x, y) for a, b in groups for x in a for y in b)
 
 
 @pytest.mark.parametrize("broadcast", [0, 10**6])
