@@ -36,10 +36,8 @@ DECAY = 1e-4
 LEXICON_LEAST = 3
 SEED = 11
 #: Words that are handled at once, and words whose potentials are remembered.
-TOGETHER = 100_000
-REMEMBERED = 500_000
-#: Rows of a batch that are handed on at once.
-ROWS = 500
+TOGETHER = 200_000
+REMEMBERED = 300_000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -126,13 +124,16 @@ class Model:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not self.languages:
             return out
+        # Texts of like length go together, since all sequences move on with the longest one.
+        order = sorted((k for k, t in enumerate(texts) if t), key=lambda k: -len(texts[k]))
         k = 0
-        while k < len(texts):
+        while k < len(order):
             some, total = [], 0
-            while k < len(texts) and total < TOGETHER:
-                words = words_of(texts[k]) if texts[k] and LETTER.search(texts[k]) else []
+            while k < len(order) and total < TOGETHER:
+                text = texts[order[k]]
+                words = words_of(text) if LETTER.search(text) else []
                 if words:
-                    some.append((k, words))
+                    some.append((order[k], words))
                     total += len(words)
                 k += 1
             if not some:
@@ -225,12 +226,10 @@ def identify(docs: DataFrame, most: int = TRAIN_DOCS, carried: bool = False, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                langs, scores = zip(*model.predict(part.column(2).to_pylist()))
-                more = part.columns[2:4] if carried else []
-                out = pa.record_batch([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names)
-                yield out if least is None else out.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)]))
+            langs, scores = list(zip(*model.predict(batch.column(2).to_pylist()))) or [(), ()]
+            more = batch.columns[2:4] if carried else []
+            out = pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names)
+            yield out if least is None else out.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 
     others = [F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("carried")] * carried
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), F.col("text").cast("string").alias("text"), *others)
