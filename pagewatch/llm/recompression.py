@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import Remembered, checkpointed, shared_dir, spaced_words, table
+from pagewatch.llm.common import Remembered, as_type, checkpointed, quoted, shared_dir, spaced_words, table, with_fields
 
 WINDOW = 50
 ROUNDS = 4
 #: Symbols of more words are not joined further, runs apart.
 LONGEST = 16
 #: Words that are handled at once.
-TOGETHER = 1_000_000
+TOGETHER = 250_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -247,15 +247,15 @@ def deduplicate(docs: DataFrame, carried: bool = False) -> DataFrame:
 
     `kept` is the text as it was, or if it lost words, the words left with single spaces.
     """
-    text = F.col("text").cast("string")
-    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("carried")] * carried
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"), *others)
+    text = as_type(docs, "text", "string")
+    others = [F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("carried")] * carried
+    rows = docs.select(as_type(docs, "doc_id", "bigint"), F.xxhash64(text).alias("digest"), text, *others)
     more = ["carried"] * carried
     known = rows.where(F.col("doc_id").isNotNull())
     found = repeated_windows(known)
     marked = known.join(found, ["doc_id", "digest"], "left").select("doc_id", "firsts", "text", *more)
     nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("array<int>").alias("firsts"), "text", *more)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carried else "")
+    schema = with_fields("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", *(rows.schema[x] for x in more))
     return marked.unionByName(nameless).mapInArrow(remove, schema)
 
 
