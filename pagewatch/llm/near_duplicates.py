@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import Remembered, checkpointed, keyed_groups, spaced_words, table
+from pagewatch.llm.common import checkpointed, keyed_groups, spaced_words, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -74,10 +74,9 @@ class Signer:
         self.plus = rng.integers(1 << 32, size=bands * rows, dtype=np.uint32)[:, None]
         self.powers = mixed(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
         self.salts = mixed(np.arange(1000, 1000 + bands, dtype=np.uint64))
-        self.known = Remembered(xxhash.xxh64_intdigest)
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
     def band_hashes(self, grams: np.ndarray) -> np.ndarray:
         short = (grams >> np.uint64(32)).astype(np.uint32)
@@ -181,7 +180,6 @@ def verify(tiles: DataFrame, threshold: float) -> DataFrame:
     """node, links and root for each text class of each tile; `tiles` has tile, part, side, node, copies and text, sorted by tile and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Remembered(xxhash.xxh64_intdigest)
         for group in keyed_groups(batches, "tile"):
             for part in keyed_groups(iter(group.to_batches()), "part"):
                 first = {r["node"]: r for r in part.to_pylist()}  # a repeated row brings its text again
@@ -191,7 +189,7 @@ def verify(tiles: DataFrame, threshold: float) -> DataFrame:
                 sets = []
                 for r in rows:
                     words = plain_words(r["text"].encode())
-                    sets.append(np.unique(shingles(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))))
+                    sets.append(np.unique(shingles(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))))
                 nodes = [r["node"] for r in rows]
                 links, roots = verified(nodes, sets, np.asarray([r["side"] for r in rows]), np.asarray([r["copies"] for r in rows]), threshold)
                 yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(links), pa.array(roots, pa.int64())], ["node", "links", "root"])
