@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ RATE = 0.15
 DECAY = 1e-4
 LEXICON_LEAST = 3
 SEED = 11
-#: Words that are handled at once, and words whose potentials are remembered.
-TOGETHER = 200_000
+#: Bytes of text that are handled at once (a longer text alone), and words whose potentials are remembered.
+TOGETHER = 1_000_000
 REMEMBERED = 300_000
 LETTER = regex.compile(r"\p{L}")
 
@@ -110,8 +111,8 @@ class Model:
             self.rows = array("f")
         known = self.known
         new = [w for w in set(words) if w not in known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 5_000):
+            part = new[k : k + 5_000]
             bags = [features(w, self.lexicons) for w in part]
             sizes = np.asarray([len(b) for b in bags])
             sums = np.add.reduceat(self.weights[np.concatenate(bags)], np.cumsum(sizes) - sizes, axis=0)
@@ -120,25 +121,25 @@ class Model:
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return np.maximum(np.frombuffer(self.rows, np.float32).reshape(-1, len(self.languages))[at], 1e-12)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None] | pa.Array) -> list[tuple[str, float]]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not self.languages:
             return out
         # Texts of like length go together, since all sequences move on with the longest one.
-        order = sorted((k for k, t in enumerate(texts) if t), key=lambda k: -len(texts[k]))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        ends = np.cumsum(sizes[order])
         k = 0
         while k < len(order):
-            some, total = [], 0
-            while k < len(order) and total < TOGETHER:
-                text = texts[order[k]]
-                words = words_of(text) if LETTER.search(text) else []
-                if words:
-                    some.append((order[k], words))
-                    total += len(words)
-                k += 1
+            end = max(k + 1, int(np.searchsorted(ends, ends[k] - sizes[order[k]] + TOGETHER, side="right")))
+            part = order[k:end]
+            some = [(at, words_of(text)) for at, text in zip(part.tolist(), texts.take(pa.array(part)).to_pylist()) if LETTER.search(text)]
+            some = sorted(((at, words) for at, words in some if words), key=lambda x: -len(x[1]))
+            k = end
             if not some:
                 continue
-            some.sort(key=lambda x: -len(x[1]))
             lengths = np.asarray([len(w) for _, w in some])
             emissions = self.potentials([w for _, ws in some for w in ws])
             gamma = forward_backward(emissions, lengths, self.transitions, self.first)
@@ -226,7 +227,7 @@ def identify(docs: DataFrame, most: int = TRAIN_DOCS, carried: bool = False, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = list(zip(*model.predict(batch.column(2).to_pylist()))) or [(), ()]
+            langs, scores = list(zip(*model.predict(batch.column(2)))) or [(), ()]
             more = batch.columns[2:4] if carried else []
             out = pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names)
             yield out if least is None else out.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
