@@ -119,12 +119,12 @@ PAGE_VERSIONS = Derivation(
             " WHEN i % 23 = 1 THEN '<title>https://t.example/x</title><title>'"
             " WHEN i % 23 = 2 THEN '<title>' || repeat('t', 61) || '</title><title>'"
             " WHEN i % 23 = 3 THEN '<title>Shop: all</title><title>'"
-            " WHEN v = 2 AND i % 5 = 0 THEN '<title>New ' ELSE '<title>' END) AS html2",
+            " WHEN v = 2 AND i % 5 = 0 THEN '<title>New &eacute &ltimes; ' ELSE '<title>' END) AS html2",
         ),
         (
             "*",
             "CASE WHEN i % 29 = 0 THEN replace(replace(html2, '<h1>', '<h2>'), '</h1>', '</h2>')"
-            " WHEN i % 29 = 1 THEN replace(html2, '</h1>', '</h1><h1> Second <i>one</i></h1>')"
+            " WHEN i % 29 = 1 THEN replace(html2, '</h1>', '</h1><h1> Second &notit; &AMP <i>one</i> &NotEqualTilde;</h1>')"
             " WHEN v = 2 AND i % 7 = 0 THEN replace(html2, '<h1>', '<h1>Now ')"
             " ELSE html2 END AS html3",
         ),
@@ -133,9 +133,13 @@ PAGE_VERSIONS = Derivation(
             "replace(html3, '<article>', '<article>' || CASE"
             " WHEN v = 2 AND i % 3 = 0 THEN '<p>' || repeat('pad ', 2000) || '</p>'"
             " WHEN v = 2 AND i % 3 = 1 THEN '<p>pad </p>' ELSE '' END"
-            " || CASE WHEN i % 12 = 0 THEN '<p>&nbsp;caf&eacute; &#8212; &#x27;q&#39; 1 &lt; 2</p>'"
+            " || CASE WHEN i % 12 = 0 THEN '<p>&nbsp;caf&eacute; &#8212; &#x27;q&#39; 1 &lt; 2 caf&eacute &ltimes; &ampx &CounterClockwiseContourIntegral;</p>'"
             " WHEN i % 10 = 4 THEN '<svg><title>icon</title><text>svg</text></svg>'"
             " || '<noscript><h1>none</h1></noscript><iframe src=\"x\">frame</iframe>'"
+            " WHEN i % 10 = 8 THEN '<svg><g><SVG a=\"b\"><text>in</text></svg></g><text>out</text></svg>'"
+            " || '<svg/>beside<svg ><svg /></svg><template><i>unseen</i><template>x</template>y</template>'"
+            " || '<textarea rows=2>a <b>bold</b> &amp; <!-- kept --><script>too</script></textarea>'"
+            " WHEN i % 10 = 6 THEN 'seen<svg><template></svg>shown</template><template><svg></template>'"
             " ELSE '' END) AS html4",
         ),
         (

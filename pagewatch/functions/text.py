@@ -7,10 +7,8 @@ units and whitespace is the JavaScript set, because the audit thresholds
 
 from __future__ import annotations
 
-import html
-from html.entities import name2codepoint
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,83 +130,79 @@ def _number(digits: Column, most: int, base: int) -> Column:
     return F.when(F.length(short) <= most, F.conv(F.concat(F.lit("0"), short), base, 10).cast("bigint")).otherwise(F.lit(0))
 
 
+# Names that need no semicolon, the longest of those with one start first.
+OPEN_NAMES = "|".join(sorted((name for name in html5 if not name.endswith(";")), reverse=True))
+
+
 def _entity_table() -> Column:
-    """Name to character for the HTML 4 names of the standard library, folded to a map literal."""
-    pairs = ";".join(f"{name}={chr(code)}" for name, code in sorted(name2codepoint.items()))
-    return F.str_to_map(F.lit(pairs), F.lit(";"), F.lit("="))
+    """First letter to name to characters, for all HTML 5 names; a map literal whose parts are short to search."""
+    letters: dict[str, list[str]] = {}
+    for name, text in html5.items():
+        letters.setdefault(name[0], []).append(f"{name}\x02{text}")
+    tables = [
+        (F.lit(letter), F.str_to_map(F.lit("\x01".join(names)), F.lit("\x01"), F.lit("\x02")))
+        for letter, names in sorted(letters.items())
+    ]
+    return F.create_map(*[column for pair in tables for column in pair])
+
+
+def _decode_piece(piece: Column, names: Column, in_attribute: bool) -> Column:
+    """Decode one reference; `piece` is the text after an ampersand.
+
+    A whole name goes before a shorter one without semicolon, which in an
+    attribute must not be followed by a letter, a digit or an equals sign.
+    """
+    def named(token: Column) -> Column:
+        return F.try_element_at(F.try_element_at(names, F.left(token, F.lit(1))), token)
 
+    def replaced(token: Column, char: Column) -> Column:
+        # An ampersand stays escaped until the last step, or it would be decoded twice.
+        kept = let(char, lambda c: F.when(c == "&", F.lit("&amp;")).otherwise(c))
+        return F.concat(kept, F.substr(piece, F.length(token) + 1))
 
-def _decode_piece(piece: Column, names: Column) -> Column:
-    """Decode one reference; `piece` is the text after an ampersand."""
-    def decoded(token: Column) -> Column:
+    def numeric(token: Column) -> Column:
         body = F.rtrim(token, F.lit(";"))
-        char = (
-            F.when(
-                body.rlike("^#[xX]"),
-                _char_of(_number(F.substring(body, 3, 2147483647), 6, 16)),
-            )
-            .when(body.startswith("#"), _char_of(_number(F.substring(body, 2, 2147483647), 7, 10)))
-            .when(token != "", F.try_element_at(names, body))
+        char = F.when(
+            body.rlike("^#[xX]"), _char_of(_number(F.substring(body, 3, 2147483647), 6, 16))
+        ).otherwise(_char_of(_number(F.substring(body, 2, 2147483647), 7, 10)))
+        return F.when(token != "", replaced(token, char))
+
+    ahead = "(?![=A-Za-z0-9])" if in_attribute else ""
+    number = F.regexp_extract(piece, r"^(#[0-9]++;?|#[xX][0-9A-Fa-f]++;?)", 1)
+    whole = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*+;)", 1)
+    short = F.regexp_extract(piece, f"^((?:{OPEN_NAMES})){ahead}", 1)
+    decoded = F.when(piece.startswith("#"), let(number, numeric)).otherwise(
+        F.coalesce(
+            let(whole, lambda t: replaced(t, named(t))), let(short, lambda t: replaced(t, named(t)))
         )
-        rest = F.substr(piece, F.length(token) + 1)
-        # An ampersand stays escaped until the last step, or it would be decoded twice.
-        char = let(char, lambda c: F.when(c == "&", F.lit("&amp;")).otherwise(c))
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
-
-    token = F.regexp_extract(
-        piece, r"^(#[0-9]++;?|#[xX][0-9A-Fa-f]++;?|[A-Za-z][A-Za-z0-9]{1,10};)", 1
     )
-    return let(token, decoded)
+    return F.coalesce(decoded, F.concat(F.lit("&"), piece))
 
 
-def _decode_rare(col: Column) -> Column:
+def _decode_rare(col: Column, in_attribute: bool) -> Column:
     """Numeric references and the less common names; skipped for texts without any."""
     def decoded(text: Column) -> Column:
         names = _entity_table()
         pieces = F.transform(
-            F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p, names))
+            F.split(text, "&"),
+            lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p, names, in_attribute)),
         )
-        rare = text.rlike("&(?:#|(?!amp\\b)[A-Za-z][A-Za-z0-9]{1,10};)")
+        rare = text.rlike("&(?:#[xX0-9]|(?!amp;)[A-Za-z][A-Za-z0-9])")
         return F.when(rare, F.array_join(pieces, "")).otherwise(text)
 
     return let(col, decoded)
 
 
-def decode_entities(col: Column, in_attribute: bool = False, entities: str = "basic") -> Column:
-    """Replace character references.
-
-    `basic` knows the HTML 4 names and numeric references and stays in the JVM.
-    `html5` knows all HTML 5 names, through an Arrow UDF. Frequent names may
-    lack their semicolon in text, but not in an attribute value.
-    """
-    if entities == "html5":
-        return _unescape_udf()(col)
-    if entities != "basic":
-        raise ValueError("entities must be 'basic' or 'html5'")
+def decode_entities(col: Column, in_attribute: bool = False) -> Column:
+    """Replace character references: numbers and all HTML 5 names, some of which may lack their semicolon."""
     def decoded(out: Column) -> Column:
         for name, char in COMMON_ENTITIES.items():
             out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-            if not in_attribute:
-                out = F.replace(out, F.lit(f"&{name}"), F.lit(char))
-        return replace_regex(_decode_rare(out), "&amp;" if in_attribute else "&amp;?", "&")
+        return F.replace(_decode_rare(out, in_attribute), F.lit("&amp;"), F.lit("&"))
 
     return let(col, lambda text: F.when(F.contains(text, F.lit("&")), decoded(text)).otherwise(text))
 
 
-def decode_each(texts: Column, entities: str = "basic") -> Column:
-    """`decode_entities` over an array of texts.
-
-    A Python UDF cannot run inside a higher-order function, so `html5` decodes
-    the joined texts at once; a null character cannot occur in a decoded page.
-    """
-    if entities == "basic":
-        return F.transform(texts, lambda text: decode_entities(text))
-    joined = decode_entities(F.array_join(texts, "\0"), entities=entities)
-    return F.when(F.size(texts) == 0, texts).otherwise(F.split(joined, "\0"))
-
-
-def _unescape_udf():
-    def unescape(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
-
-    return F.pandas_udf(unescape, "string")
+def decode_each(texts: Column) -> Column:
+    """`decode_entities` over an array of texts."""
+    return F.transform(texts, lambda text: decode_entities(text))

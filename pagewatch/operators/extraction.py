@@ -15,18 +15,18 @@ from pagewatch.operators.fetches import is_robots
 
 @build_once
 def _parsed_columns(
-    nav_rules: NavRules, homepage_only: bool, entities: str
+    nav_rules: NavRules, homepage_only: bool
 ) -> dict[str, Column]:
     """Fields read from `markup` and `html`."""
     html, markup = F.col("html"), F.col("markup")
     raw_text = ws_trim(F.coalesce(html, F.lit("")))
     return {
-        "title": M.title_of(markup, entities),
-        "canonical": M.canonical_of(markup, entities),
-        "meta_description": M.meta_description_of(markup, entities),
-        "h1": M.h1_texts_of(markup, entities),
+        "title": M.title_of(markup),
+        "canonical": M.canonical_of(markup),
+        "meta_description": M.meta_description_of(markup),
+        "h1": M.h1_texts_of(markup),
         "text": F.when(F.col("is_robots"), raw_text).otherwise(
-            M.visible_text_of(markup, entities)
+            M.visible_text_of(markup)
         ),
         "nav": nav_links_of(markup, F.col("url"), nav_rules, homepage_only),
     }
@@ -56,7 +56,6 @@ def extract_page_fields(
     pages: DataFrame,
     nav_rules: NavRules = DEFAULT_NAV_RULES,
     homepage_only: bool = True,
-    entities: str = "basic",
     backfill: bool = False,
 ) -> DataFrame:
     """Read all audited fields from `html`.
@@ -83,7 +82,7 @@ def extract_page_fields(
                 "markup": M.page_markup(F.col("html")),
             }
         )
-        .withColumns(_parsed_columns(rules, homepage_only, entities))
+        .withColumns(_parsed_columns(rules, homepage_only))
         .withColumns(_judged_columns(backfill))
         .drop("markup")
     )

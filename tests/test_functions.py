@@ -1,6 +1,8 @@
 """Literal values for the scalar functions, edge cases first."""
 
-import pytest
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
@@ -28,11 +30,10 @@ def test_length_counts_utf16_units(spark):
     assert values(spark, ["", "abc", "é", "😀a", None], T.utf16_length) == [0, 3, 1, 3, None]
 
 
-@pytest.mark.parametrize("mode", ["basic", "html5"])
-def test_entities(spark, mode):
+def test_entities(spark):
     texts = ["a &amp; b", "&amp;lt;", "&#8212;&#x27;&#150;", "&eacute;&nbsp;x", "AT&T &foo;", "&#38;amp;", None]
     expected = ["a & b", "&lt;", "—'–", "é x", "AT&T &foo;", "&amp;", None]
-    assert values(spark, texts, lambda c: T.decode_entities(c, entities=mode)) == expected
+    assert values(spark, texts, T.decode_entities) == expected
 
 
 def test_entities_without_semicolon(spark):
@@ -41,6 +42,19 @@ def test_entities_without_semicolon(spark):
     assert attribute == ["?a=1&copy=2&b"]
 
 
+def test_all_names_in_all_surroundings(spark):
+    names = sorted({name.rstrip(";") for name in html5})
+    for after in ("", ";", " ", "x", "&", "=1;", "amp;"):
+        texts = [f"a&{name}{after}" for name in names]
+        assert values(spark, texts, T.decode_entities) == [unescape(t) for t in texts]
+
+
+def test_open_names_in_attributes(spark):
+    texts = ["&lt", "a&lt=b", "&lt1", "&ltimes;", "&copy;=", "&eacute&amp", "&notit;", "&not;it"]
+    expected = ["<", "a&lt=b", "&lt1", "⋉", "©=", "é&", "&notit;", "¬it"]
+    assert values(spark, texts, lambda c: T.decode_entities(c, in_attribute=True)) == expected
+
+
 def test_invalid_code_points_become_replacement_characters(spark):
     assert values(spark, ["&#0;&#xD800;&#99999999;"], T.decode_entities) == ["�" * 3]
 

@@ -29,11 +29,6 @@ def test_fields(spark):
     assert one(spark, PAGE, M.visible_text) == "One x Twoab ·"
 
 
-def test_html5_entities_give_the_same_fields(spark):
-    for field in (M.page_title, M.canonical, M.meta_description, M.h1_texts, M.visible_text):
-        assert one(spark, PAGE, lambda c: field(c, "html5")) == one(spark, PAGE, field)
-
-
 def test_missing_parts(spark):
     for html in (None, "", "plain", "<p>x"):
         assert one(spark, html, M.page_title) == ""
@@ -44,6 +39,34 @@ def test_missing_parts(spark):
     assert one(spark, "<title>t</title>bare", M.visible_text) == "bare"
 
 
+def test_nested_parts_are_no_text(spark):
+    pages = {
+        "<body>a<svg><g><svg x='>'>b</svg></g>c</svg>d": "ad",
+        "<body>a<SVG/>b<svg a/>c<svg a=b/>d</svg>e": "abce",
+        "<body>a<svg a=/>b": "a",
+        "<body>a<svg>b<svg/>c</svg>d</svg>e": "ade",
+        "<body>a<svg>b<svg>c</svg>d": "a",
+        "<body>a</svg>b<svgs>c</svgs>": "abc",
+        "<body>a<template><p>b</p><template>c</template>d</template>e": "ae",
+        "<body>a<template/>b</template>c": "ac",
+        "<body>a<svg><template></svg>b</template>c": "abc",
+    }
+    for html, text in pages.items():
+        assert one(spark, html, M.visible_text) == text, html
+
+
+def test_textareas_hold_text_only(spark):
+    html = "<body><textarea rows=2>a <b>c</b> &amp;lt; <!-- d --><script>e</script></TEXTAREA ><i>f</i><textarea><p>g"
+    assert one(spark, html, M.visible_text) == "a <b>c</b> &lt; <!-- d --><script>e</script>f<p>g"
+    assert one(spark, "<body><!-- <textarea> -->a<script><textarea></script>b", M.visible_text) == "ab"
+
+
+def test_nested_parts_are_linear(spark):
+    assert one(spark, "<body>" + "<svg>" * 20000 + "x", M.visible_text) == ""
+    assert one(spark, "<body>" + "<svg>" * 5000 + "</svg>" * 5000 + "x", M.visible_text) == "x"
+    assert one(spark, "<body>" + "<textarea>" * 20000, M.visible_text) == "<textarea>" * 19999
+
+
 def test_first_canonical_without_target_ends_the_search(spark):
     html = '<link rel=canonical><link rel=canonical href="https://x.com/">'
     assert one(spark, html, M.canonical) == ""
