@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -84,6 +86,23 @@ class Remembered(dict):
         return value
 
 
+def given_back(run: Callable) -> Callable:
+    """A task's function that returns the memory it has freed to the system when its rows end.
+
+    Worker processes outlive their tasks; what they keep would lie beside the memory of the stages that follow.
+    """
+
+    @functools.wraps(run)
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return to_the_end
+
+
 def held_out(of: int, remainder: int, doc_id: str = "doc_id"):
     """Whether crc32(doc_id as text) mod `of` is `remainder`; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of == remainder, F.lit(False))

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import held_out, letters_and_digits, quoted, table, with_fields
+from pagewatch.llm.common import given_back, held_out, letters_and_digits, quoted, table, with_fields
 
 TRAIN_DOCS = 150
 #: Words of a piece of one language, and pieces of a training sequence.
@@ -104,11 +104,14 @@ class Model:
         self.known: dict[bytes, int] = {}
         self.rows = array("f")
 
+    def forget(self) -> None:
+        self.known = {}
+        self.rows = array("f")
+
     def potentials(self, words: list[bytes]) -> np.ndarray:
         """exp of each word's potentials, divided by the largest."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.rows = array("f")
+            self.forget()
         known = self.known
         new = [w for w in set(words) if w not in known]
         for k in range(0, len(new), 5_000):
@@ -225,12 +228,14 @@ def identify(docs: DataFrame, most: int = TRAIN_DOCS, carried: bool = False, lea
     model = train([r["text"] for r in rows], [r["lang"] for r in rows])
     names = ["doc_id", "held_out", "lang_pred", "score", *["text", "carried"] * carried]
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = list(zip(*model.predict(batch.column(2)))) or [(), ()]
             more = batch.columns[2:4] if carried else []
             out = pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names)
             yield out if least is None else out.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
+        model.forget()
 
     others = [F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("carried")] * carried
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), F.col("text").cast("string").alias("text"), *others)

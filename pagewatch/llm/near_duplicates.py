@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import checkpointed, keyed_groups, spaced_words, table
+from pagewatch.llm.common import checkpointed, given_back, keyed_groups, spaced_words, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -92,6 +92,7 @@ class Signer:
 def signatures(docs: DataFrame, bands: int) -> DataFrame:
     """doc_id, digest, key (128 bits of the text class, null without words) and bands of each row of `docs` (doc_id, digest, text)."""
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands)
         for batch in batches:
@@ -179,6 +180,7 @@ def verified(nodes: list[int], sets: list[np.ndarray], side: np.ndarray, copies:
 def verify(tiles: DataFrame, threshold: float) -> DataFrame:
     """node, links and root for each text class of each tile; `tiles` has tile, part, side, node, copies and text, sorted by tile and part."""
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in keyed_groups(batches, "tile"):
             for part in keyed_groups(iter(group.to_batches()), "part"):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import Remembered, as_type, checkpointed, quoted, shared_dir, spaced_words, table, with_fields
+from pagewatch.llm.common import Remembered, as_type, checkpointed, given_back, quoted, shared_dir, spaced_words, table, with_fields
 
 WINDOW = 50
 ROUNDS = 4
@@ -166,6 +166,7 @@ def _as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+@given_back
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Remembered(xxhash.xxh64_intdigest)
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("whole", pa.binary()), ("anchors", pa.list_(pa.int64()))])
@@ -179,6 +180,7 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(pa.array([v[k] for v, _, _ in some], pa.int64()) for k in (0, 1)), pa.array(whole, pa.binary()), lists], schema=schema)
 
 
+@given_back
 def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The 128-bit hashes of the windows at shared anchors: columns doc_id, digest, shared, later (those that a smaller id has), text."""
     known = Remembered(xxhash.xxh64_intdigest)
@@ -196,6 +198,7 @@ def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(ids), pa.array(digests), pa.array((at - text.starts[owner]).astype(np.int32)), pa.array(_as_long(one)), pa.array(_as_long(two)), pa.array(later)], names)
 
 
+@given_back
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, firsts (windows to remove, or null), text and any others; gives counts, digest and text left for each row, and the others."""
     names = ["n_words", "n_removed", "kept_sha256", "kept"]
