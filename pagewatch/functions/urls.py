@@ -1,8 +1,9 @@
 """URL parsing and normalisation as Column expressions.
 
 Follows the parts of the URL standard that decide whether two addresses are
-the same: case of scheme and host, default ports, dot segments and percent
-encoding. International host names are lower-cased, not converted to punycode.
+the same: case of scheme and host, percent-encoded hosts, spellings of IPv4
+addresses, default ports, dot segments and percent encoding. International
+host names are lower-cased, not converted to punycode.
 """
 
 from __future__ import annotations
@@ -17,9 +18,18 @@ OTHER_SCHEME = r"^(?!(?i:https?):)[A-Za-z][A-Za-z0-9+.-]*:"
 # Groups: scheme, user info with @, host, port, path, query, fragment.
 HTTP_URL = (
     r"(?is)^(https?):[/\\]*([^/\\?#]*@)?"
-    r"(\[[0-9a-f:.]+\]|[^\s/\\?#@:<>\[\]^|%\x00-\x20\x7f]+)"
+    r"(\[[0-9a-f:.]+\]|[^\s/\\?#@:<>\[\]^|\x00-\x20\x7f]+)"
     r"(?::0*([0-9]*))?((?:[/\\][^?#]*)?)(\?[^#]*)?(#.*)?\z"
 )
+# Characters that no decoded host may hold, and hosts that must be IPv4 addresses.
+NOT_IN_HOST = r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f\uFFFD]"
+ENDS_IN_NUMBER = r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z"
+# First digits, pattern and base of an address part; longer numbers are beyond 32 bits.
+NUMBER_FORMS = (
+    (r"^0x0*", r"^0x0*[0-9a-f]{0,8}\z", 16),
+    (r"^0+", r"^0+[0-7]{0,11}\z", 8),
+    (r"^", r"^[1-9][0-9]{0,9}\z", 10),
+)
 DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"
 
 # Characters each URL part must percent-encode.
@@ -38,10 +48,53 @@ def _part(cleaned: Column, group: int) -> Column:
     return F.regexp_extract(cleaned, HTTP_URL, group)
 
 
+def _decoded_host(host: Column) -> Column:
+    """Lower-case host without percent encoding, null if it then holds what no host may."""
+    plain = F.lower(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))))
+    decoded = let(plain, lambda h: F.when(~h.rlike(NOT_IN_HOST) & (h != ""), h))
+    return F.when(host.contains("%"), decoded).otherwise(F.lower(host))
+
+
+def _address_part(part: Column) -> Column:
+    """Number of a hexadecimal, octal or decimal part, null if it is none or too long."""
+    number = F.lit(None).cast("long")
+    for first, form, base in reversed(NUMBER_FORMS):
+        digits = F.concat(F.lit("0"), F.regexp_replace(part, first, ""))
+        number = F.when(part.rlike(form), F.conv(digits, base, 10).cast("long")).otherwise(number)
+    return number
+
+
+def _ipv4(host: Column) -> Column:
+    """Dotted spelling of an address of up to four parts, whose last one fills all bytes left; null if it does not fit."""
+    def dotted(numbers: Column) -> Column:
+        count = F.size(numbers)
+        before = F.slice(numbers, 1, count - 1)
+        room = F.pow(F.lit(256), 5 - count).cast("long")
+        last = F.element_at(numbers, -1)
+        fits = (count <= 4) & F.forall(numbers, lambda n: n.isNotNull()) & F.forall(before, lambda n: n < 256)
+        high = F.aggregate(before, F.lit(0).cast("long"), lambda kept, n: kept * 256 + n)
+        spelled = let(
+            high * room + last,
+            lambda v: F.concat_ws(".", *[F.shiftright(v, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)]),
+        )
+        return F.when(fits, F.when(last < room, spelled))
+
+    parts = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.")
+    return let(F.transform(parts, _address_part), dotted)
+
+
+def _host(cleaned: Column) -> Column:
+    """Host as a parser spells it, null if it is none."""
+    return let(
+        _decoded_host(_part(cleaned, 3)),
+        lambda h: F.when(h.rlike(ENDS_IN_NUMBER), _ipv4(h)).otherwise(h),
+    )
+
+
 def _is_http(cleaned: Column) -> Column:
     port = _part(cleaned, 4)  # without leading zeros
     port_fits = (F.length(port) < 5) | ((F.length(port) == 5) & (port <= "65535"))
-    return F.coalesce(cleaned.rlike(HTTP_URL) & port_fits, F.lit(False))
+    return F.coalesce(cleaned.rlike(HTTP_URL) & port_fits & _host(cleaned).isNotNull(), F.lit(False))
 
 
 def _has_other_scheme(cleaned: Column) -> Column:
@@ -60,7 +113,7 @@ def is_any_url(url: Column) -> Column:
 
 def url_host(url: Column) -> Column:
     """Lower-case host of an http(s) URL, null if the URL is not valid."""
-    return let(_clean(url), lambda c: F.when(_is_http(c), F.lower(_part(c, 3))))
+    return let(_clean(url), lambda c: F.when(_is_http(c), _host(c)))
 
 
 def url_path(url: Column) -> Column:
@@ -128,7 +181,7 @@ def normalize_url(url: Column) -> Column:
             scheme,
             F.lit("://"),
             _part(cleaned, 2),
-            F.lower(_part(cleaned, 3)),
+            _host(cleaned),
             F.when((port == "") | (port == default), F.lit("")).otherwise(
                 F.concat(F.lit(":"), port)
             ),

@@ -113,6 +113,41 @@ def test_normal_form_of_urls(spark):
     assert values(spark, list(URLS), U.normalize_url) == list(URLS.values())
 
 
+HOSTS = {
+    "http://0x7f.1/": "http://127.0.0.1/",
+    "http://2130706433/a": "http://127.0.0.1/a",
+    "http://0300.0250.0.01./": "http://192.168.0.1/",
+    "http://0X/": "http://0.0.0.0/",
+    "http://00000000000000000000000001.0xFFFFFF": "http://1.255.255.255/",
+    "http://4294967295/": "http://255.255.255.255/",
+    "http://4294967296/": None,
+    "http://99999999999999999999999/": None,
+    "http://1.2.3.256/": None,
+    "http://256.1/": None,
+    "http://1.2.3.4.5/": None,
+    "http://9.9.9.9.9.9.9.9.9.9.9.9.4294967295/": None,
+    "http://a.09/": None,
+    "http://1..2/": None,
+    "http://a.0xg/": "http://a.0xg/",
+    "http://1.2.3.4a/": "http://1.2.3.4a/",
+    "http://%65x%41mple.COM:80/%65": "http://example.com/%65",
+    "http://a+b%2Dc/": "http://a+b-c/",
+    "http://%31%2e2.3.4/": "http://1.2.3.4/",
+    "http://a%2Fb/": None,
+    "http://a%zz/": None,
+    "http://a%": None,
+    "http://a%ff/": None,
+    "http://%C3%89.com/": "http://é.com/",
+    "http://[::1]/": "http://[::1]/",
+}
+
+
+def test_encoded_hosts_and_addresses(spark):
+    assert values(spark, list(HOSTS), U.normalize_url) == list(HOSTS.values())
+    assert values(spark, list(HOSTS), U.is_http_url) == [x is not None for x in HOSTS.values()]
+    assert values(spark, ["http://0x7f.1/"], U.url_host) == ["127.0.0.1"]
+
+
 def test_kinds_of_urls(spark):
     texts = ["https://x.com", "Note: hi", "http://a b", "ftp://x", "plain", "http:foo"]
     assert values(spark, texts, U.is_http_url) == [True, False, False, False, False, True]
