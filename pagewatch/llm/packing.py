@@ -34,13 +34,13 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     """The pieces of each row of `docs`: the first one may be shorter, all others have `capacity` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = token_ids(public_path(path, BYTE_LEVEL))
+        # Only pieces of words are remembered for columns, so there is room for more of them.
+        known = token_ids(public_path(path, BYTE_LEVEL), most=600_000)
         end = np.asarray([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
         for batch in batches:
             out: list[tuple] = []
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known.of(texts)):
+            for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known.of_column(batch.column(2))):
                 ids += end
                 n = len(ids) // 4
                 ends = range((n - 1) % capacity + 1, n + 1, capacity)

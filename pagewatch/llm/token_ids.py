@@ -12,6 +12,9 @@ import types
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 BYTE_LEVEL = "byte_bpe_50k.json"
@@ -22,6 +25,10 @@ SETTLED = re.compile("[^\x1c-\x1f԰-\U0010ffff]*\\Z")
 #: White space that can't be cut off with the word behind it.
 UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 
+#: New words that are cut in one pass, and bytes of texts whose words are made distinct together.
+TOGETHER = 1000
+PART_BYTES = 32_000_000
+
 
 def public_path(path: str | None, name: str) -> str:
     """`path`, or where the public file of that name lies."""
@@ -111,6 +118,54 @@ class TokenIds:
                 lines = [line.split(" ") for line in text.split("\n")]
                 yield self.line_feed.join([heads(line[0]) + b"".join(map(spaced, line[1:])) for line in lines]) if text else b""
 
+    def _cut_together(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each begin with the white space before them, cut in one pass: only first pieces begin with it."""
+        joined = "".join(words)
+        if not SETTLED.match(joined):
+            return list(map(self.cut, words))
+        pieces = CUT.findall(joined)
+        ids = list(map(self.pieces.__getitem__, pieces))
+        starts = [k for k, piece in enumerate(pieces) if piece[0] in " \n"]
+        return [b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(pieces)])]
+
+    def _of_words(self, words: list[str]) -> list[bytes | None]:
+        """Ids of distinct words with the white space before them, null for those that hold no more or end in white space."""
+        out: list[bytes | None] = [None] * len(words)
+        whole = [k for k, word in enumerate(words) if len(word) > 1 and not (word[1].isspace() or word[-1].isspace())]
+        for a in range(0, len(whole), TOGETHER):
+            some = whole[a : a + TOGETHER]
+            for k, ids in zip(some, self._cut_together([words[k] for k in some])):
+                out[k] = ids
+        return out
+
+    def of_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """What `of` gives for the texts of a column: their words are made distinct in Arrow, so that each is cut once in some megabytes of text."""
+        texts = pc.fill_null(texts, "")
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // PART_BYTES
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(texts)] if len(texts) else []
+        for a, b in zip(cuts, cuts[1:]):
+            yield from self._of_part(texts.slice(a, b - a))
+
+    def _of_part(self, texts: pa.Array) -> Iterator[bytes]:
+        # Each line begins a word with its line feed; so does each text, and what precedes that first one is empty.
+        lines = pc.replace_substring(pc.binary_join_element_wise("", texts, "\n"), "\n", " \n")
+        split = pc.split_pattern(lines, " ")
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        distinct = split.flatten().dictionary_encode()
+        words = self._of_words([w if w[:1] == "\n" else " " + w for w in distinct.dictionary.to_pylist()])
+        codes = distinct.indices.to_numpy()
+        uneven = np.add.reduceat(np.array([ids is None for ids in words], np.int64)[codes], ends[:-1]) > 1
+        special = np.zeros(len(texts), bool)
+        for mark in self.special:
+            special |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            if special[k]:
+                yield self.encoded(texts[k].as_py())
+            elif uneven[k]:
+                yield self.cut(texts[k].as_py())
+            else:
+                yield b"".join([words[c] for c in codes[a + 1 : b].tolist()])[len(self.line_feed) :]
+
     def bytes_of_ids(self) -> list[bytes]:
         """The bytes that each id stands for."""
         back = {ord(c): b for b, c in self.characters.items()}
@@ -121,5 +176,5 @@ class TokenIds:
         return out
 
 
-def token_ids(path: str, plain: bool = False) -> TokenIds:
-    return of_process(f"ids {plain} {path}", lambda: TokenIds(path, plain))
+def token_ids(path: str, plain: bool = False, most: int = 300_000) -> TokenIds:
+    return of_process(f"ids {plain} {most} {path}", lambda: TokenIds(path, plain, most))

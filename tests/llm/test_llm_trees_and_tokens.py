@@ -9,6 +9,7 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -176,6 +177,25 @@ def test_ids_are_those_of_whole_texts(spark, sf_dir):
             assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)[:200]
 
 
+def test_ids_of_columns_are_those_of_whole_texts():
+    texts = [*odd_texts(3000), None, "", "a\n\nb", " a", "a ", "a\u180e \tb", "x <|endoftext|> y", "end<|endoftext|>"]
+    for plain in (True, False):
+        known, whole = TokenIds(BYTES, plain, most=500), Tokenizer.from_file(BYTES)
+        whole.encode_special_tokens = plain
+        column = pa.array(["before", *texts], pa.string()).slice(1)
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in known.of_column(column)]
+        assert found == [whole.encode(text or "", add_special_tokens=False).ids for text in texts]
+        assert list(known.of_column(column.slice(0, 0))) == []
+
+
+def test_a_column_has_each_distinct_word_cut_once():
+    known, looked_up = TokenIds(BYTES), []
+    cut_together = known._cut_together
+    known._cut_together = lambda words: looked_up.extend(words) or cut_together(words)
+    list(known.of_column(pa.array(["one two one", "two one\none"] * 50)))
+    assert sorted(looked_up) == ["\none", "\ntwo", " one", " two"]
+
+
 class Plain:
     """Whole texts, and cuts by decoded bytes alone."""
 
