@@ -169,6 +169,27 @@ def test_pairing_shuffles_once_and_cuts_before(spark):
     assert plan.index("Exchange hashpartitioning") < plan.index("row_number(), 2, Partial")
 
 
+def test_an_older_version_of_nulls_is_one(spark):
+    rows = [("a", None, None, None), ("a", 1, "2", 5), ("b", None, None, None), (None, 3, "1", None), (None, 4, "2", 6)]
+    table = spark.createDataFrame(rows, "url string, id bigint, ts_key string, value int")
+    pairs = {r.url: (r.new.id, r.old and tuple(r.old)) for r in V.version_pairs(table, None, ["value"]).collect()}
+    assert pairs == {"a": (1, (None, None, None)), "b": (None, None), None: (4, ("1", 3, None))}
+
+
+def test_first_scrapes_parse_no_page_and_comparisons_no_audit_fields(spark):
+    raw = spark.createDataFrame([(1, "https://x.com/", "1", 200, page())], RAW)
+    pairs = V.version_pairs(extract_page_fields(raw))
+
+    def plan(rows):
+        return rows._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "html" not in plan(V.first_scrapes(pairs)).split("LogicalRDD")[0]
+    compared = C.compare_versions(pairs)
+    assert "html" not in plan(compared.filter("first_scrape").select("url")).split("LogicalRDD")[0]
+    assert "html" in plan(compared).split("LogicalRDD")[0]
+    assert not {"meta_description", "is_canonical_self_ref", "has_title"} & set(pairs.schema["new"].dataType.names)
+
+
 def test_retention_is_strict_and_repeatable(spark):
     keys = ["20240131000000", "20240130235959", "20240301000000"]
     rows = spark.createDataFrame([(k, k[:8]) for k in keys], "ts_key string, snapshot_date string")
