@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import checkpointed, table
+from pagewatch.llm.common import checkpointed, given_back, table
 from pagewatch.llm.token_ids import BYTE_LEVEL, public_path, token_ids
 
 CAPACITY = 1024
@@ -33,9 +33,10 @@ PART = 20_000
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of each row of `docs`: the first one may be shorter, all others have `capacity` tokens."""
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Only pieces of words are remembered for columns, so there is room for more of them.
-        known = token_ids(public_path(path, BYTE_LEVEL), most=600_000)
+        # Words are remembered in Arrow, so few of their pieces are asked for again.
+        known = token_ids(public_path(path, BYTE_LEVEL), most=150_000)
         end = np.asarray([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
         for batch in batches:

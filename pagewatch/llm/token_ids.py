@@ -1,5 +1,7 @@
 """Ids of texts by a byte-level tokenizer file, each distinct word split and merged once.
 
+Columns of texts keep the ids of their words in Arrow, where a word takes some thirty bytes and not the hundreds of Python's own.
+
 The files are read where they lie; their folder is installed on every executor. A tokenizer belongs to a worker process and
 serves all its tasks, so that a word is merged once there and not once a task.
 """
@@ -25,9 +27,13 @@ SETTLED = re.compile("[^\x1c-\x1f԰-\U0010ffff]*\\Z")
 #: White space that can't be cut off with the word behind it.
 UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 
-#: New words that are cut in one pass, and bytes of texts whose words are made distinct together.
+#: New words that are cut in one pass, new words that are Python strings at a time, and bytes of texts whose words are made distinct together.
 TOGETHER = 1000
-PART_BYTES = 32_000_000
+STRINGS = 20_000
+PART_BYTES = 8_000_000
+#: Words of columns whose ids are remembered, and their bytes with those ids.
+WORDS = 600_000
+WORDS_BYTES = 48_000_000
 
 
 def public_path(path: str | None, name: str) -> str:
@@ -68,6 +74,39 @@ class Generations(dict):
         self[key] = value
 
 
+class KnownWords:
+    """Ids of words (null for some), both in Arrow. When there are too many, only the words asked for last stay."""
+
+    def __init__(self, function: Callable[[list[str]], list[bytes | None]], most: int, most_bytes: int = WORDS_BYTES):
+        self.function, self.most, self.most_bytes = function, most, most_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def fits(self) -> bool:
+        return len(self.words) <= self.most and self.words.nbytes + self.ids.nbytes <= self.most_bytes
+
+    def of(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        parts = [pa.array(self.function(new.slice(a, STRINGS).to_pylist()), pa.large_binary()) for a in range(0, len(new), STRINGS)]
+        found = pa.concat_arrays([self.ids, *parts])
+        # New words come behind the known ones, in their order.
+        missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+        places = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[missing] = len(self.ids) + np.arange(len(new))
+        out = found.take(pa.array(places))
+        if len(new):
+            self.words, self.ids = pa.concat_arrays([self.words, new]), found
+        if not self.fits():
+            self.words, self.ids = words, out
+            if not self.fits():
+                self.forget()
+        return out
+
+
 def characters_of_bytes() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 ones for themselves, the rest from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -93,6 +132,7 @@ class TokenIds:
         self.heads = Generations(self.cut, most // 8 + 1)
         self.spaced = Generations(lambda word: self.cut(" " + word), most)
         self.line_feed = self.encoded("\n")
+        self.words = KnownWords(lambda words: self._of_words([w if w[:1] == "\n" else " " + w for w in words]), WORDS)
 
     def encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -148,23 +188,26 @@ class TokenIds:
 
     def _of_part(self, texts: pa.Array) -> Iterator[bytes]:
         # Each line begins a word with its line feed; so does each text, and what precedes that first one is empty.
-        lines = pc.replace_substring(pc.binary_join_element_wise("", texts, "\n"), "\n", " \n")
-        split = pc.split_pattern(lines, " ")
+        split = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", texts, "\n"), "\n", " \n"), " ")
         ends = split.offsets.to_numpy() - split.offsets[0].as_py()
         distinct = split.flatten().dictionary_encode()
-        words = self._of_words([w if w[:1] == "\n" else " " + w for w in distinct.dictionary.to_pylist()])
-        codes = distinct.indices.to_numpy()
-        uneven = np.add.reduceat(np.array([ids is None for ids in words], np.int64)[codes], ends[:-1]) > 1
+        del split
+        words = self.words.of(distinct.dictionary).take(distinct.indices)
+        del distinct
+        uneven = np.add.reduceat(pc.is_null(words).to_numpy(zero_copy_only=False), ends[:-1], dtype=np.int64) > 1
         special = np.zeros(len(texts), bool)
         for mark in self.special:
             special |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+        _, offsets, ids = words.buffers()
+        starts = np.frombuffer(offsets, np.int64)[words.offset :][ends].tolist()
+        ids = memoryview(ids or b"")
+        for k, (a, b) in enumerate(zip(starts, starts[1:])):
             if special[k]:
                 yield self.encoded(texts[k].as_py())
             elif uneven[k]:
                 yield self.cut(texts[k].as_py())
             else:
-                yield b"".join([words[c] for c in codes[a + 1 : b].tolist()])[len(self.line_feed) :]
+                yield bytes(ids[a + len(self.line_feed) : b])
 
     def bytes_of_ids(self) -> list[bytes]:
         """The bytes that each id stands for."""

@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -20,7 +21,7 @@ from checks.compare import _rows, duck
 from pagewatch.llm.alignment import Aligner, score
 from pagewatch.llm.chat import escaped, format_conversations, formatted, parsed, read_back, unescaped
 from pagewatch.llm.divergence import audit
-from pagewatch.llm.token_ids import TokenIds
+from pagewatch.llm.token_ids import KnownWords, TokenIds
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "B", " ", "  ", "\n", "\t", "é", "日本", "😀", "ﬁ", "'s", "12", "...", "<|endoftext|>", "▁", "\x1c", "‍", "़", "<0x41>", "<s>", "　", "\r\n", "\x00", "the", "\\", "###", "</turn>", ":"]
@@ -196,6 +197,33 @@ def test_a_column_has_each_distinct_word_cut_once():
     assert sorted(looked_up) == ["\none", "\ntwo", " one", " two"]
 
 
+def test_columns_need_few_strings_at_once():
+    known = TokenIds(BYTES, most=1000)
+    texts = pa.array([" ".join(f"w{k}" for k in range(a, a + 100)) for a in range(0, 100_000, 100)])
+    next(known.of_column(texts.slice(0, 1)))
+    tracemalloc.start()
+    try:
+        assert sum(len(ids) for ids in known.of_column(texts)) > 0
+        assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_forgotten_words_of_columns_get_the_same_ids():
+    texts = odd_texts(600) + ["", "a\n\nb", " a", "x <|endoftext|> y", "long" * 3000]
+    whole = Tokenizer.from_file(BYTES)
+    whole.encode_special_tokens = False
+    wanted = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    for most, most_bytes in ((20, 1 << 20), (1000, 4000), (0, 0)):
+        known = TokenIds(BYTES)
+        known.words = KnownWords(known.words.function, most, most_bytes)
+        found = []
+        for a in [*range(0, len(texts), 7)]:
+            found += [np.frombuffer(ids, "<u4").tolist() for ids in known.of_column(pa.array(texts[a : a + 7]))]
+            assert len(known.words.words) == len(known.words.ids) <= most and known.words.fits()
+        assert found == wanted
+
+
 class Plain:
     """Whole texts, and cuts by decoded bytes alone."""
 
